@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import discard, materialize, mix, shingle_sets, text_blocks
+from linkloom.llm.common import discard, materialize, mix, release, shingle_sets, text_blocks
 
 #: Fixed sizes, whatever the corpus: buckets of the frequency table, bits of the filter of wanted ids.
 SKETCH_BITS, FILTER_BITS = 17, 23
@@ -105,12 +105,14 @@ def _setter(k: int, wanted: np.ndarray):
         for batch in batches:
             at = np.asarray(batch.column(1))
             batch = batch.filter(pa.array((wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-            for _, _, data, offsets in text_blocks(batch.column(0)):
-                sets = [s for s in shingle_sets(data, offsets, k) if len(s)]
+            for a, b, data, offsets in text_blocks(batch.column(0)):
+                every = shingle_sets(data, offsets, k)
+                sets = [s for s in every if len(s)]
+                rep = batch.column(2).slice(a, b - a).filter(pa.array([len(s) > 0 for s in every], pa.bool_()))
                 nodes = [int(mix(s, 3).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
                 ends = np.cumsum([0, *map(len, sets)])
                 values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))], ["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([rep, pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))], ["rep", "node", "tokens"])
 
     return run
 
@@ -224,15 +226,19 @@ def _links(percent: int):
     return handle
 
 
-def _dealt(units: DataFrame, weight: str) -> DataFrame:
-    """Rows (unit, i, j, ...) of the tasks: a unit heavier than BLOCK becomes all pairs of its blocks."""
+def _dealt(units: DataFrame, weight: str, lists: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of the tasks (unit, i, j), sorted: a unit heavier than BLOCK becomes all pairs of its blocks.
+
+    units is light (unit, node, n, ell, weight); the shingles in lists are joined to what was dealt.
+    """
     heavy = units.groupBy("unit").agg(F.sum(weight).alias("w")).where(F.col("w") > BLOCK).select("unit", F.ceil(F.col("w") / (BLOCK // 2)).cast("int").alias("blocks"))
-    units = units.join(heavy, "unit", "left")
+    dealt = units.drop(weight).join(heavy, "unit", "left")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    units = units.withColumn("p", F.explode(F.when(F.isnull("blocks"), one).otherwise(pairs)))
-    return units.select("unit", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "n", "ell", "tokens").repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    dealt = dealt.withColumn("p", F.explode(F.when(F.isnull("blocks"), one).otherwise(pairs)))
+    rows = dealt.join(lists, on).select("unit", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "n", "ell", "tokens")
+    return rows.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -259,6 +265,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text", key
 
     Two texts are linked when 100 * |A and B| >= percent * |A or B|.
     """
+    spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     classes = frequency_classes(docs, text, k)
     signed = materialize(source.mapInArrow(_signer(k, percent, classes), "key bigint, n bigint, node bigint, ell int, prefix array<bigint>"), "signed")
@@ -268,10 +275,12 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text", key
     postings = signed.where("key IS NOT NULL").select("node", F.explode("prefix").alias("token"))
     shared = postings.groupBy("token").agg(F.min("node").alias("unit"), F.max("node").alias("far")).where("unit <> far").drop("far")
     shared = materialize(postings.join(shared, "token").select("token", "unit", "node").distinct(), "shared")
-    lists = shared.groupBy("node").agg(F.collect_list("token").alias("tokens")).join(named.where("rep IS NOT NULL"), "node")
-    units = shared.select("unit", "node").distinct().join(lists, "node").withColumn("w", F.size("tokens"))
-    alive = _dealt(units, "w").mapInArrow(_grouped(_survivors(percent), ["unit", "node"]), "unit bigint, node bigint")
+    release(spark)
+    lists = materialize(shared.groupBy("node").agg(F.collect_list("token").alias("tokens")).join(named.where("rep IS NOT NULL"), "node"), "lists")
+    units = shared.select("unit", "node").distinct().join(lists.select("node", "n", "ell", F.size("tokens").alias("w")), "node")
+    alive = _dealt(units, "w", lists.select("node", "tokens"), ["node"]).mapInArrow(_grouped(_survivors(percent), ["unit", "node"]), "unit bigint, node bigint")
     alive = materialize(alive.distinct(), "alive")
+    release(spark)
 
     wanted = alive.select("node").distinct().join(named, "node").select(F.pmod(F.xxhash64("rep"), F.lit(1 << FILTER_BITS)).alias("bit"))
     words = wanted.groupBy(F.shiftright("bit", 5).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 AS int)))").alias("bits")).collect()  # at most 2^18 rows
@@ -279,10 +288,11 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text", key
     for at, bits in words:
         bitmap[at] = bits
     bit = F.pmod(F.xxhash64("key"), F.lit(1 << FILTER_BITS)).alias("bit")
-    sets = source.where("key IS NOT NULL").select("text", bit).mapInArrow(_setter(k, bitmap.view(np.uint8)), "node bigint, tokens array<bigint>")
-    sets = sets.join(alive.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    sized = alive.join(named, "node").join(sets, "node").withColumn("w", F.col("n"))
-    edges = _dealt(sized, "w").mapInArrow(_grouped(_links(percent), ["a", "b"]), "a bigint, b bigint")
+    sets = source.where("key IS NOT NULL").select("text", bit, "key").mapInArrow(_setter(k, bitmap.view(np.uint8)), "rep bigint, node bigint, tokens array<bigint>")
+    sized = alive.join(named, "node").withColumn("w", F.col("n"))
+    edges = _dealt(sized, "w", sets, ["node", "rep"]).mapInArrow(_grouped(_links(percent), ["a", "b"]), "a bigint, b bigint")
+    edges = materialize(edges, "links")
+    release(spark)
 
     rep = named.select(F.col("node"), "rep")
     edges = edges.join(rep.withColumnRenamed("rep", "ra"), F.col("a") == F.col("node")).drop("node").join(rep.withColumnRenamed("rep", "rb"), F.col("b") == F.col("node"))
