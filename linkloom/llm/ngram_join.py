@@ -149,9 +149,16 @@ def overlaps(tokens: list[np.ndarray]) -> np.ndarray:
 
 
 def _candidates(n: np.ndarray, ell: np.ndarray, percent: int, shared: np.ndarray) -> np.ndarray:
-    """Pairs with enough shared prefix shingles and sizes that allow a link."""
+    """Pairs with enough shared prefix shingles and sizes that allow a link.
+
+    Of two sets, the one whose prefix ends first has every common shingle either in both prefixes or among
+    its own rest, of least_overlap - l shingles; so a link, which takes percent / (100 + percent) of both
+    sizes, needs what the longer rest leaves open to be shared within the prefixes.
+    """
     small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
-    ok = (shared >= np.minimum.outer(ell, ell)) & (100 * small >= percent * large)
+    rest = least_overlap(n, percent) - ell
+    least = -(-percent * np.add.outer(n, n) // (100 + percent)) - np.maximum.outer(rest, rest)
+    ok = (shared >= np.maximum(least, np.minimum.outer(ell, ell))) & (100 * small >= percent * large)
     np.fill_diagonal(ok, False)
     return ok
 
