@@ -1,4 +1,6 @@
 """All queries over the test tables and their oracles."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from linkloom.plans import flow_queries, record_queries  # noqa: F401  (they register)
+from linkloom.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
