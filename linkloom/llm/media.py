@@ -142,7 +142,7 @@ def align(media: DataFrame, content: str, key: str, step: int = QUERY_STEP) -> D
     first = F.greatest(F.lit(0), -F.col("shift"))
     overlap = F.least(F.size("codes") - first, F.size("asked") - first - F.col("shift"))
     here, there = F.slice("codes", first + 1, F.greatest(overlap, F.lit(0))), F.slice("asked", first + F.col("shift") + 1, F.greatest(overlap, F.lit(0)))
-    wrong = F.aggregate(F.zip_with(here, there, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)).cast("int"))
+    wrong = F.aggregate(F.zip_with(here, there, lambda a, b: F.bit_count(a.bitwiseXOR(b).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)).cast("int"))
     rate = F.when(overlap > 0, wrong / (overlap * 32.0))
     found = F.col("match").isNotNull()
     return out.select(F.col("key").alias(key), F.size("codes").cast("long").alias("n_codes"), F.col("crc").alias("codes_crc32"), F.col("match").alias("match_id"), F.col("shift").cast("long").alias("frame_offset"), F.col("count").alias("votes"), F.when(found, rate).alias("bit_error_rate"), F.coalesce(rate <= MAX_BIT_ERRORS, F.lit(False)).alias("aligned"))
