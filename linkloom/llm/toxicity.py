@@ -162,9 +162,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     ids = ids[0].unionByName(ids[1]).dropDuplicates(["k"])  # at most 2 x per_class ids
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.length("t") <= chars)
     sample = texts.join(F.broadcast(ids), "k").select("k", "t", "junk", "toxic").mapInArrow(_sampler, f"k {docs.schema[key].dataType.simpleString()}, junk int, toxic int, f array<bigint>")
-    rows = sample.toArrow().to_pylist()  # bounded: SAMPLE rows a class of SAMPLE_CHARS
-    rows.sort(key=lambda r: (r["k"], r["f"]))
-    return train([(np.array(r["f"], np.int64).view(np.uint64), r["junk"], r["toxic"]) for r in rows])
+    table = sample.toArrow().combine_chunks()  # bounded: SAMPLE rows a class of SAMPLE_CHARS
+    k, junk, toxic = (table.column(c).to_pylist() for c in ("k", "junk", "toxic"))
+    lists = [x.values.to_numpy()[p:q].view(np.uint64) for x in table.column("f").chunks for p, q in zip(x.offsets.to_numpy()[:-1].tolist(), x.offsets.to_numpy()[1:].tolist(), strict=True)]
+    order = sorted(range(len(k)), key=lambda i: (k[i], lists[i].tobytes()))
+    return train([(lists[i], junk[i], toxic[i]) for i in order])
 
 
 def scorer(model: Chain):
