@@ -154,10 +154,10 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that pass, with docs' columns.
 
-    The counts go into a small table that gives the model; they are worked out a second time to filter,
-    which costs less than carrying whole texts through the shared folder.
+    The counts are written beside the rows: a filter straight on with_features would have the optimizer
+    put the counts' whole expressions in place of each use in the rules, which grows without end.
     """
-    featured = with_features(docs, text)
-    model = fit_on(featured)
+    featured = materialize(with_features(docs, text), "rules")
     f = F.col("__ll_f")
-    return featured.where(~base_failed(f) & (posterior_column(f, model) >= KEEP_AT)).drop("__ll_f")
+    posterior = posterior_column(f, fit_on(featured))
+    return featured.where(~base_failed(f) & (posterior >= KEEP_AT)).drop("__ll_f")
