@@ -108,7 +108,7 @@ def eva_nmi(spark, sf):
     return records.normalized_mutual_information(table(spark, sf, "documents"), "lang", "source")
 
 
-@query("""WITH r AS (SELECT user_id, event_type || '>' || lead(event_type, 1) OVER w || '>' || lead(event_type, 2) OVER w AS run FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT run, count(DISTINCT user_id) AS support, count(*) AS n, round(least(1.0, 0.4 + 0.15 * count(DISTINCT user_id)), 6) AS confidence FROM r WHERE run IS NOT NULL GROUP BY run HAVING count(DISTINCT user_id) >= 2""")
+@query("""WITH r AS (SELECT user_id, event_type || '>' || lead(event_type, 1) OVER w || '>' || lead(event_type, 2) OVER w AS run FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT run, count(DISTINCT user_id) AS support, count(*) AS n, round(least(1e0, 0.4e0 + 0.15e0 * count(DISTINCT user_id)), 6) AS confidence FROM r WHERE run IS NOT NULL GROUP BY run HAVING count(DISTINCT user_id) >= 2""")
 def mo_sequences(spark, sf):
     """GRF-54."""
     return records.sequences(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type", 3, 2)
