@@ -9,7 +9,8 @@ the sets themselves are compared.
 
 Candidates meet in units. Every shingle indexed for two different sets hands its sets to the unit of its
 smallest set, so any two linked sets meet in one unit, a set is in a unit once however many shingles it
-shares, and no pairs are written out: a unit is compared in memory and gives a spanning forest of its
+shares, and no pairs are written out: a pair goes on only in the smallest of the units of the shingles it
+shares, so that whole sets are written for few units; a unit is compared in memory and gives a spanning forest of its
 links. A unit too large for a task is cut into blocks, and every pair of blocks is a task of its own.
 Texts with equal sets are one class from the start.
 
@@ -34,6 +35,8 @@ from linkloom.llm.common import discard, materialize, mix, release, shingle_sets
 SKETCH_BITS, FILTER_BITS = 17, 23
 #: Shingles that one task of a unit compares at once.
 BLOCK = 600_000
+#: What a set weighs in a unit besides its shingles: bounds the sets of a task, whose pairs make a matrix.
+SET_WEIGHT = 200
 MOST_MATCHES = 16
 _SHIFT = np.uint64(64 - SKETCH_BITS)
 
@@ -163,6 +166,13 @@ def _candidates(n: np.ndarray, ell: np.ndarray, percent: int, shared: np.ndarray
     return ok
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a column of lists."""
+    lists = column.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+
+
 def _grouped(handle: Callable, names: list[str]):
     """Runs handle over each (unit, i, j) of rows that come sorted by these."""
 
@@ -176,16 +186,14 @@ def _grouped(handle: Callable, names: list[str]):
                 change[1:] |= k[1:] != k[:-1]
             cuts = [0, *np.flatnonzero(change).tolist(), len(change)]
             table = table.combine_chunks()
-            lists = table.column("tokens").combine_chunks()
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            lists = {c: _flat(table.column(c)) for c in ("tokens", "homes") if c in table.column_names}
             node, n, ell, unit = (table.column(c).to_numpy() for c in ("node", "n", "ell", "unit"))
             out: dict[str, list] = {c: [] for c in names}
             upto = len(cuts) - 1 if last else len(cuts) - 2
             for a, b in zip(cuts[:upto], cuts[1 : upto + 1], strict=True):
                 if b - a > 1:
-                    tokens = [values[ends[r] : ends[r + 1]] for r in range(a, b)]
-                    for c, v in zip(names, handle(unit[a], node[a:b], n[a:b], ell[a:b], tokens), strict=True):
+                    rows = [[values[ends[r] : ends[r + 1]] for r in range(a, b)] for values, ends in lists.values()]
+                    for c, v in zip(names, handle(unit[a], node[a:b], n[a:b], ell[a:b], *rows), strict=True):
                         out[c].append(v)
             done = pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[c]) if out[c] else np.zeros(0, np.int64), pa.int64()) for c in names], names)
             return done, table.slice(cuts[upto])
@@ -204,9 +212,17 @@ def _grouped(handle: Callable, names: list[str]):
 
 
 def _survivors(percent: int):
-    def handle(unit, node, n, ell, tokens):
-        ok = _candidates(n, ell, percent, overlaps(tokens)).any(1)
-        return np.full(ok.sum(), unit), node[ok]
+    """The sets with a candidate in this unit, each pair in the smallest unit of the shingles it shares only."""
+
+    def handle(unit, node, n, ell, tokens, homes):
+        pairs = _candidates(n, ell, percent, overlaps(tokens))
+        some = np.flatnonzero(pairs.any(1))
+        if len(some):
+            pairs = pairs[np.ix_(some, some)]
+            pairs &= overlaps([tokens[r][homes[r] <= unit] for r in some]) > 0
+            pairs &= overlaps([tokens[r][homes[r] < unit] for r in some]) == 0
+            some = some[pairs.any(1)]
+        return np.full(len(some), unit), node[some]
 
     return handle
 
@@ -244,7 +260,7 @@ def _dealt(units: DataFrame, weight: str, lists: DataFrame, on: list[str]) -> Da
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
     dealt = dealt.withColumn("p", F.explode(F.when(F.isnull("blocks"), one).otherwise(pairs)))
-    rows = dealt.join(lists, on).select("unit", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "n", "ell", "tokens")
+    rows = dealt.join(lists, on).select("unit", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "n", "ell", *(c for c in lists.columns if c not in on))
     return rows.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
 
 
@@ -283,9 +299,10 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text", key
     shared = postings.groupBy("token").agg(F.min("node").alias("unit"), F.max("node").alias("far")).where("unit <> far").drop("far")
     shared = materialize(postings.join(shared, "token").select("token", "unit", "node").distinct(), "shared")
     release(spark)
-    lists = materialize(shared.groupBy("node").agg(F.collect_list("token").alias("tokens")).join(named.where("rep IS NOT NULL"), "node"), "lists")
-    units = shared.select("unit", "node").distinct().join(lists.select("node", "n", "ell", F.size("tokens").alias("w")), "node")
-    alive = _dealt(units, "w", lists.select("node", "tokens"), ["node"]).mapInArrow(_grouped(_survivors(percent), ["unit", "node"]), "unit bigint, node bigint")
+    lists = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("unit", "token"))).alias("p"))
+    lists = materialize(lists.select("node", F.col("p.token").alias("tokens"), F.col("p.unit").alias("homes")).join(named.where("rep IS NOT NULL"), "node"), "lists")
+    units = shared.select("unit", "node").distinct().join(lists.select("node", "n", "ell", (F.size("tokens") + SET_WEIGHT).alias("w")), "node")
+    alive = _dealt(units, "w", lists.select("node", "tokens", "homes"), ["node"]).mapInArrow(_grouped(_survivors(percent), ["unit", "node"]), "unit bigint, node bigint")
     alive = materialize(alive.distinct(), "alive")
     release(spark)
 
@@ -296,7 +313,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text", key
         bitmap[at] = bits
     bit = F.pmod(F.xxhash64("key"), F.lit(1 << FILTER_BITS)).alias("bit")
     sets = source.where("key IS NOT NULL").select("text", bit, "key").mapInArrow(_setter(k, bitmap.view(np.uint8)), "rep bigint, node bigint, tokens array<bigint>")
-    sized = alive.join(named, "node").withColumn("w", F.col("n"))
+    sized = alive.join(named, "node").withColumn("w", F.col("n") + SET_WEIGHT)
     edges = _dealt(sized, "w", sets, ["node", "rep"]).mapInArrow(_grouped(_links(percent), ["a", "b"]), "a bigint, b bigint")
     edges = materialize(edges, "links")
     release(spark)
