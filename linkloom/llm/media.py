@@ -7,10 +7,11 @@ frame. Recordings are aligned by the histogram of offsets at which they share co
 is judged by the share of differing bits over the whole overlap.
 
 The search takes as queries the recordings whose id is divisible by QUERY_STEP and looks all recordings
-up. A code that many queries share stands for its smallest and its largest query id only, so what a
-recording meets is bounded by its own codes and near-copies of a query are found through either; queries
-that are copies of each other are themselves looked up like any recording. No group of copies is ever
-gathered or paired.
+up. Queries of equal codes form a class, named by its smallest id. The index holds every code and position
+of every class; it goes to the executors in blocks of about BLOCK codes, and each recording meets each
+block where it lies, in runs of about CHUNK votes: rows are never dealt by code, and none is left out.
+
+A pair is judged at its best shift: most votes, then fewest bit errors. It needs MIN_VOTES votes.
 
 Defined results: a null or empty recording has no codes and no match. Audio shorter than one filter
 window is padded with silence to give one code. Null ids can't be queries or be looked up. Rows that
@@ -19,12 +20,14 @@ repeat an id are looked up together, each compared by its own codes. An empty ta
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ RATE, FRAME, HOP = 8000, 256, 64
 SPAN = 8
 QUERY_STEP = 100
 MIN_VOTES, MAX_BIT_ERRORS = 3, 0.2
+#: Query codes in one block of the index, and votes or frames compared at once.
+BLOCK, CHUNK = 1 << 21, 1 << 21
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -116,33 +121,162 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for a in range(0, batch.num_rows, 512):
             part = batch.slice(a, 512)
-            codes = [fingerprint(*decode(x or b"")) for x in part.column(1).to_pylist()]
-            crc = [zlib.crc32(c.astype("<u4").tobytes()) for c in codes]
+            codes = [fingerprint(*decode(x or b"")).astype("<u4") for x in part.column(1).to_pylist()]
+            crc = [zlib.crc32(c.tobytes()) for c in codes]
+            name = [hashlib.blake2b(c.tobytes(), digest_size=16).digest() for c in codes]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, codes)]), pa.int32()), pa.array(np.concatenate(codes).view(np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(crc, pa.int64())], ["key", "codes", "crc"])
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(crc, pa.int64()), pa.array(name, pa.binary())], ["key", "codes", "crc", "print"])
 
 
 def fingerprints(media: DataFrame, content: str, key: str) -> DataFrame:
-    """key, codes (array of 32-bit integers), crc. A text column is taken as its UTF-8 bytes."""
+    """key, codes (array of 32-bit integers), crc, print (128-bit hash of the codes). A text column is taken as its UTF-8 bytes."""
     kind = media.schema[key].dataType.simpleString()
-    return media.select(F.col(key).alias("key"), F.col(content).cast("binary").alias("b")).mapInArrow(_fingerprints, f"key {kind}, codes array<int>, crc bigint")
+    return media.select(F.col(key).alias("key"), F.col(content).cast("binary").alias("b")).mapInArrow(_fingerprints, f"key {kind}, codes array<int>, crc bigint, print binary")
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists as unsigned codes, and where each list starts (one more entry than lists)."""
+    sizes = np.array(column.value_lengths().fill_null(0), np.int64)
+    return np.array(column.flatten(), np.int32).view(np.uint32), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For lists of these sizes, the list and the place in it of each entry."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _runs(sizes: np.ndarray) -> Iterator[slice]:
+    """Cuts a sequence of sizes into runs of about CHUNK in sum, of one entry at least."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, "right")))
+        yield slice(a, b)
+        a = b
+
+
+def _tally(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[heads], np.add.reduceat(counts[order], heads) if len(heads) else counts
+
+
+class _Index:
+    """Every (code, query, position) of a block of query classes: low and high id, print, codes."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, prints: list[bytes], flat: np.ndarray, starts: np.ndarray):
+        self.low, self.high, self.flat, self.starts = low, high, flat, starts
+        self.classes = {p: i for i, p in enumerate(prints)}
+        self.sizes = np.diff(starts)
+        order = np.argsort(flat, kind="stable")
+        self.codes = flat[order]
+        self.query, self.at = (x[order] for x in _spread(self.sizes))
+
+    def search(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(recording, query, shift, votes, bit error rate) of each pair at its best shift, in order of recording and query."""
+        sizes = np.diff(starts)
+        most, n = int(sizes.max(initial=0)), len(self.sizes)
+        width = most + int(self.sizes.max(initial=0)) + 1
+        low, high = np.searchsorted(self.codes, flat, "left"), np.searchsorted(self.codes, flat, "right")
+        met = np.flatnonzero(high > low)
+        rec, pos = (x[met] for x in _spread(sizes))
+        low, hits = low[met], (high - low)[met]
+        out, keys, counts = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for run in _runs(hits):
+            of, place = _spread(hits[run])
+            entry = low[run][of] + place
+            new = (rec[run][of] * n + self.query[entry]) * width + self.at[entry] - pos[run][of] + most
+            keys, counts = _tally(np.concatenate([keys, new]), np.concatenate([counts, np.ones(len(new), np.int64)]))
+            done = int(np.searchsorted(keys, rec[run][-1] * n * width))  # the last recording may go on in the next run
+            out.append(self._best(keys[:done], counts[:done], n, width, most, flat, starts))
+            keys, counts = keys[done:], counts[done:]
+        out.append(self._best(keys, counts, n, width, most, flat, starts))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _best(self, keys: np.ndarray, votes: np.ndarray, n: int, width: int, most: int, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        pair, shift = keys // width, keys % width - most
+        rec, query = pair // max(n, 1), pair % max(n, 1)
+        sizes = np.diff(starts)
+        enough = votes >= MIN_VOTES
+        pair, shift, votes = pair[enough], shift[enough], votes[enough]
+        heads = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+        if len(heads):
+            top = votes == np.repeat(np.maximum.reduceat(votes, heads), np.diff(np.append(heads, len(pair))))
+            pair, shift, votes = pair[top], shift[top], votes[top]
+        rec, query = pair // max(n, 1), pair % max(n, 1)
+        first = np.maximum(0, -shift)
+        overlap = np.minimum(sizes[rec] - first, self.sizes[query] - first - shift)
+        wrong = np.zeros(len(pair), np.int64)
+        for run in _runs(overlap):
+            of, place = _spread(overlap[run])
+            here, there = flat[(starts[rec] + first)[run][of] + place], self.flat[(self.starts[query] + first + shift)[run][of] + place]
+            wrong[run] = np.bincount(of, np.bitwise_count(here ^ there), len(overlap[run]))
+        rate = wrong / (overlap * 32.0)
+        order = np.lexsort((shift, rate, pair))
+        order = order[np.flatnonzero(np.concatenate([[True], pair[order][1:] != pair[order][:-1]]))] if len(pair) else order
+        return rec[order], query[order], shift[order], votes[order], rate[order]
+
+
+_MATCH = pa.struct([("match_id", pa.int64()), ("frame_offset", pa.int64()), ("votes", pa.int64()), ("bit_error_rate", pa.float64())])
+
+
+def _searcher(block: Broadcast, step: int):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _Index(*block.value)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                known = np.array(part.column(0).is_valid())
+                keys = np.array(part.column(0).cast(pa.int64()).fill_null(0), np.int64)
+                rec, query, shift, votes, rate = index.search(*_lists(part.column(1)))
+                match = np.where(index.low[query] != keys[rec], index.low[query], index.high[query])
+                keep = known[rec] & (match != keys[rec])
+                order = np.flatnonzero(keep)
+                order = order[np.lexsort((match[order], -votes[order], rec[order]))]
+                rec, query, match, shift, votes, rate = (x[order] for x in (rec, query, match, shift, votes, rate))
+                has = np.zeros(part.num_rows, bool)
+                has[rec] = True
+                heads = np.searchsorted(rec, np.flatnonzero(has))
+                at = np.zeros(part.num_rows, np.int64)
+                at[has] = heads
+                best = pa.array([{"match_id": match[i], "frame_offset": shift[i], "votes": votes[i], "bit_error_rate": rate[i]} if h else None for i, h in zip(at.tolist(), has.tolist(), strict=True)], _MATCH)
+                near = rate <= MAX_BIT_ERRORS
+                ends = np.concatenate([[0], np.cumsum(np.bincount(rec[near], minlength=part.num_rows))])
+                pairs = pa.StructArray.from_arrays([pa.array(x) for x in (index.low[query][near], shift[near], votes[near], rate[near])], ["query_class", "frame_offset", "votes", "bit_error_rate"])
+                asks = (known & (keys % step == 0)).tolist()
+                own = [index.classes.get(p) if q else None for p, q in zip(part.column(3).to_pylist(), asks, strict=True)]
+                own = pa.array([None if i is None else int(index.low[i]) for i in own], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, own, best, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], [*part.schema.names, "new_class", "new_best", "new_matches"])
+
+    return search
+
+
+def _blocks(asked: DataFrame) -> Iterator[tuple]:
+    """The query classes in blocks of about BLOCK codes, one block at least."""
+    total = asked.agg(F.sum(F.size("codes"))).first()[0] or 0
+    n = max(1, -(-total // BLOCK))
+    for b in range(n):
+        t = asked.where(F.pmod(F.xxhash64("print"), F.lit(n)) == b).toArrow().combine_chunks()
+        low, high, prints, codes = (t.column(c).combine_chunks() for c in ("low", "high", "print", "codes"))
+        yield (np.array(low.cast(pa.int64())), np.array(high.cast(pa.int64())), prints.to_pylist(), *_lists(codes))
 
 
 def align(media: DataFrame, content: str, key: str, step: int = QUERY_STEP) -> DataFrame:
-    """One row a recording: its best-aligned other query recording, the offset in frames, votes and bit errors."""
-    prints = materialize(fingerprints(media, content, key), "prints")
-    asked = prints.where(F.col("key").isNotNull() & (F.col("key") % step == 0)).groupBy("key").agg(F.min("codes").alias("asked"))
-    index = asked.select("key", F.posexplode("asked").alias("at", "code")).groupBy("code").agg(F.min(F.struct("key", "at")).alias("low"), F.max(F.struct("key", "at")).alias("high"))
-    index = index.select("code", F.explode(F.array_distinct(F.array("low", "high"))).alias("q"))
-    own = prints.where("key IS NOT NULL").select(F.col("key").alias("id"), F.posexplode("codes").alias("pos", "code"))
-    met = own.join(index, "code").where("q.key <> id").groupBy("id", F.col("q.key").alias("match"), (F.col("q.at") - F.col("pos")).alias("shift")).count()
-    best = met.where(F.col("count") >= MIN_VOTES).groupBy("id").agg(F.max_by(F.struct("match", "shift", "count"), F.struct("count", -F.col("match"), -F.col("shift"))).alias("m"))
-    best = best.select("id", "m.*")
-    out = prints.join(best, prints["key"] == best["id"], "left").join(asked.withColumnRenamed("key", "query"), F.col("match") == F.col("query"), "left")
-    first = F.greatest(F.lit(0), -F.col("shift"))
-    overlap = F.least(F.size("codes") - first, F.size("asked") - first - F.col("shift"))
-    here, there = F.slice("codes", first + 1, F.greatest(overlap, F.lit(0))), F.slice("asked", first + F.col("shift") + 1, F.greatest(overlap, F.lit(0)))
-    wrong = F.aggregate(F.zip_with(here, there, lambda a, b: F.bit_count(a.bitwiseXOR(b).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)).cast("int"))
-    rate = F.when(overlap > 0, wrong / (overlap * 32.0))
-    found = F.col("match").isNotNull()
-    return out.select(F.col("key").alias(key), F.size("codes").cast("long").alias("n_codes"), F.col("crc").alias("codes_crc32"), F.col("match").alias("match_id"), F.col("shift").cast("long").alias("frame_offset"), F.col("count").alias("votes"), F.when(found, rate).alias("bit_error_rate"), F.coalesce(rate <= MAX_BIT_ERRORS, F.lit(False)).alias("aligned"))
+    """One row a recording: its best other query recording, the offset in frames, votes and bit errors."""
+    spark = media.sparkSession
+    kind = media.schema[key].dataType.simpleString()
+    asked = fingerprints(media.where(F.col(key) % step == 0), content, key).where(F.size("codes") > 0)
+    asked = materialize(asked.groupBy("print").agg(F.first("codes").alias("codes"), F.min("key").alias("low"), F.max("key").alias("high")), "asked")
+    match = "struct<match_id:bigint,frame_offset:bigint,votes:bigint,bit_error_rate:double>"
+    rank = lambda s: F.struct(s["votes"], -s["match_id"])
+    out = None
+    for block in _blocks(asked):
+        rows = fingerprints(media, content, key) if out is None else materialize(out, "matches")
+        form = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+        found = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(block), step), f"{form}, new_class bigint, new_best {match}, new_matches array<{match.replace('match_id', 'query_class')}>")
+        if out is not None:
+            found = found.withColumns({"new_class": F.coalesce("query_class", "new_class"), "new_matches": F.concat("matches", "new_matches"), "new_best": F.when(F.col("best").isNull() | (rank(F.col("new_best")) > rank(F.col("best"))), F.col("new_best")).otherwise(F.col("best"))})
+        out = found.select("key", "codes", "crc", "print", F.col("new_class").alias("query_class"), F.col("new_best").alias("best"), F.col("new_matches").alias("matches"))
+    aligned = F.coalesce(F.col("best.bit_error_rate") <= MAX_BIT_ERRORS, F.lit(False))
+    return out.select(F.col("key").alias(key), F.size("codes").cast("long").alias("n_codes"), F.col("crc").alias("codes_crc32"), F.col("best.match_id").cast(kind).alias("match_id"), "best.frame_offset", "best.votes", "best.bit_error_rate", aligned.alias("aligned"))
