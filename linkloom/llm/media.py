@@ -11,7 +11,8 @@ up. Queries of equal codes form a class, named by its smallest id. The index hol
 of every class; it goes to the executors in blocks of about BLOCK codes, and each recording meets each
 block where it lies, in runs of about CHUNK votes: rows are never dealt by code, and none is left out.
 
-A pair is judged at its best shift: most votes, then fewest bit errors. It needs MIN_VOTES votes.
+A pair is judged at its best shift: most votes, then fewest bit errors. It needs MIN_VOTES votes, or as many
+as the shorter recording has codes.
 
 Defined results: a null or empty recording has no codes and no match. Audio shorter than one filter
 window is padded with silence to give one code. Null ids can't be queries or be looked up. Rows that
@@ -198,7 +199,7 @@ class _Index:
         pair, shift = keys // width, keys % width - most
         rec, query = pair // max(n, 1), pair % max(n, 1)
         sizes = np.diff(starts)
-        enough = votes >= MIN_VOTES
+        enough = votes >= np.minimum(MIN_VOTES, np.minimum(sizes[rec], self.sizes[query]))
         pair, shift, votes = pair[enough], shift[enough], votes[enough]
         heads = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
         if len(heads):

@@ -20,3 +20,11 @@ def test_query_of_middle_id(spark):
     got = aligned(spark, rows)
     assert (got[7].match_id, got[7].frame_offset, got[7].bit_error_rate, got[7].aligned) == (200, 0, 0.0, True)
     assert got[7].votes == got[7].n_codes
+
+
+def test_short_recordings(spark):
+    short, lone, steady = noise(5, 760), noise(6, 90), b"\x05" * 3000
+    rows = [(100, short), (1, short), (200, lone), (2, lone), (3, noise(7, 760)), (300, steady), (4, steady)]
+    got = aligned(spark, rows)
+    assert [(got[i].match_id, got[i].n_codes, got[i].votes, got[i].aligned) for i in (1, 2)] == [(100, 1, 1, True), (200, 1, 1, True)]
+    assert not got[3].aligned and (got[4].match_id, got[4].frame_offset, got[4].votes, got[4].aligned) == (300, 0, got[4].n_codes, True)
