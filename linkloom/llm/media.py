@@ -12,7 +12,9 @@ of every class; it goes to the executors in blocks of about BLOCK codes, and eac
 block where it lies, in runs of about CHUNK votes: rows are never dealt by code, and none is left out.
 
 A pair is judged at its best shift: most votes, then fewest bit errors. It needs MIN_VOTES votes, or as many
-as the shorter recording has codes.
+as the shorter recording has codes. `matches` holds all aligned classes of a recording and `query_class`
+is the class of a query, so `matches` joined with the classes of the queries gives all aligned pairs; a
+query's own class is among its matches where it has another member. The other columns give the best match.
 
 Defined results: a null or empty recording has no codes and no match. Audio shorter than one filter
 window is padded with silence to give one code. Null ids can't be queries or be looked up. Rows that
@@ -32,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import materialize
+from linkloom.llm.common import discard, materialize
 
 RATE, FRAME, HOP = 8000, 256, 64
 SPAN = 8
@@ -234,7 +236,7 @@ def _searcher(block: Broadcast, step: int):
                 match = np.where(index.low[query] != keys[rec], index.low[query], index.high[query])
                 keep = known[rec] & (match != keys[rec])
                 order = np.flatnonzero(keep)
-                order = order[np.lexsort((match[order], -votes[order], rec[order]))]
+                order = order[np.lexsort((match[order], rate[order], -votes[order], rate[order] > MAX_BIT_ERRORS, rec[order]))]
                 rec, query, match, shift, votes, rate = (x[order] for x in (rec, query, match, shift, votes, rate))
                 has = np.zeros(part.num_rows, bool)
                 has[rec] = True
@@ -264,20 +266,22 @@ def _blocks(asked: DataFrame) -> Iterator[tuple]:
 
 
 def align(media: DataFrame, content: str, key: str, step: int = QUERY_STEP) -> DataFrame:
-    """One row a recording: its best other query recording, the offset in frames, votes and bit errors."""
+    """One row a recording: its best other query recording, the offset in frames, votes and bit errors; query_class and matches as told above."""
     spark = media.sparkSession
     kind = media.schema[key].dataType.simpleString()
     asked = fingerprints(media.where(F.col(key) % step == 0), content, key).where(F.size("codes") > 0)
     asked = materialize(asked.groupBy("print").agg(F.first("codes").alias("codes"), F.min("key").alias("low"), F.max("key").alias("high")), "asked")
     match = "struct<match_id:bigint,frame_offset:bigint,votes:bigint,bit_error_rate:double>"
-    rank = lambda s: F.struct(s["votes"], -s["match_id"])
-    out = None
+    rank = lambda s: F.struct(s["bit_error_rate"] <= MAX_BIT_ERRORS, s["votes"], -s["bit_error_rate"], -s["match_id"])
+    out = rows = None
     for block in _blocks(asked):
-        rows = fingerprints(media, content, key) if out is None else materialize(out, "matches")
+        before, rows = rows, fingerprints(media, content, key) if out is None else materialize(out, "matches")
+        if before is not None and "matches" in before.columns:
+            discard(before)
         form = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
         found = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(block), step), f"{form}, new_class bigint, new_best {match}, new_matches array<{match.replace('match_id', 'query_class')}>")
         if out is not None:
             found = found.withColumns({"new_class": F.coalesce("query_class", "new_class"), "new_matches": F.concat("matches", "new_matches"), "new_best": F.when(F.col("best").isNull() | (rank(F.col("new_best")) > rank(F.col("best"))), F.col("new_best")).otherwise(F.col("best"))})
         out = found.select("key", "codes", "crc", "print", F.col("new_class").alias("query_class"), F.col("new_best").alias("best"), F.col("new_matches").alias("matches"))
     aligned = F.coalesce(F.col("best.bit_error_rate") <= MAX_BIT_ERRORS, F.lit(False))
-    return out.select(F.col("key").alias(key), F.size("codes").cast("long").alias("n_codes"), F.col("crc").alias("codes_crc32"), F.col("best.match_id").cast(kind).alias("match_id"), "best.frame_offset", "best.votes", "best.bit_error_rate", aligned.alias("aligned"))
+    return out.select(F.col("key").alias(key), F.size("codes").cast("long").alias("n_codes"), F.col("crc").alias("codes_crc32"), F.col("best.match_id").cast(kind).alias("match_id"), "best.frame_offset", "best.votes", "best.bit_error_rate", aligned.alias("aligned"), F.col("query_class").cast(kind).alias("query_class"), "matches")
