@@ -1,7 +1,8 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 Rules are regexes built from a table of licenses and a few templates (SPDX tag, "licensed under",
-title, address), in order of priority. A text is only matched against the rules whose keyword it holds.
+title, address), in order of priority. A text is only matched against the rules of which it holds a keyword;
+what a rule can match always holds one.
 Of detections, one that lies inside a kept one of the same or a better priority is suppressed. The base
 phrases are counted on words, as the contract says, and their labels always stay.
 
@@ -30,7 +31,7 @@ BASE = (
     (("mit", "license"), "mit"),
 )
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: SPDX identifier, keyword, title regex, address.
+#: SPDX identifier, keywords (every alternative of the title holds one), title regex, address.
 LICENSES = (
     ("AGPL-3.0", "affero", r"(?:gnu )?affero general public licen[sc]e(?:,? v(?:ersion)? ?3(?:\.0)?)?", "gnu.org/licenses/agpl"),
     ("Apache-1.1", "apache", r"apache (?:software )?licen[sc]e,? v(?:ersion)? ?1\.1", "apache.org/licenses/license-1.1"),
@@ -42,18 +43,18 @@ LICENSES = (
     ("BSL-1.0", "boost", r"boost software licen[sc]e(?:,? v(?:ersion)? ?1\.0)?", "boost.org/license_1_0"),
     ("BUSL-1.1", "business source", r"business source licen[sc]e(?: 1\.1)?", "mariadb.com/bsl11"),
     ("CC0-1.0", "cc0", r"cc0(?: 1\.0)?(?: universal)?", "creativecommons.org/publicdomain/zero"),
-    ("CC-BY-4.0", "cc", r"cc[- ]by[- ]4\.0|creative commons attribution 4\.0(?: international)?", "creativecommons.org/licenses/by/4.0"),
-    ("CC-BY-3.0", "cc", r"cc[- ]by[- ]3\.0|creative commons attribution 3\.0(?: unported)?", "creativecommons.org/licenses/by/3.0"),
-    ("CC-BY-2.0", "cc", r"cc[- ]by[- ]2\.0|creative commons attribution 2\.0", "creativecommons.org/licenses/by/2.0"),
-    ("CC-BY-SA-4.0", "cc", r"cc[- ]by[- ]sa[- ]4\.0|creative commons attribution[- ]share ?alike 4\.0", "creativecommons.org/licenses/by-sa/4.0"),
-    ("CC-BY-SA-3.0", "cc", r"cc[- ]by[- ]sa[- ]3\.0|creative commons attribution[- ]share ?alike 3\.0", "creativecommons.org/licenses/by-sa/3.0"),
-    ("CC-BY-NC-4.0", "cc", r"cc[- ]by[- ]nc[- ]4\.0|creative commons attribution[- ]non ?commercial 4\.0", "creativecommons.org/licenses/by-nc/4.0"),
-    ("CC-BY-NC-3.0", "cc", r"cc[- ]by[- ]nc[- ]3\.0|creative commons attribution[- ]non ?commercial 3\.0", "creativecommons.org/licenses/by-nc/3.0"),
-    ("CC-BY-ND-4.0", "cc", r"cc[- ]by[- ]nd[- ]4\.0|creative commons attribution[- ]no ?deriv(?:ative)?s 4\.0", "creativecommons.org/licenses/by-nd/4.0"),
-    ("CC-BY-NC-SA-4.0", "cc", r"cc[- ]by[- ]nc[- ]sa[- ]4\.0", "creativecommons.org/licenses/by-nc-sa/4.0"),
-    ("CC-BY-NC-SA-3.0", "cc", r"cc[- ]by[- ]nc[- ]sa[- ]3\.0", "creativecommons.org/licenses/by-nc-sa/3.0"),
-    ("CC-BY-NC-ND-4.0", "cc", r"cc[- ]by[- ]nc[- ]nd[- ]4\.0", "creativecommons.org/licenses/by-nc-nd/4.0"),
-    ("CDDL-1.0", "cddl", r"cddl(?:[- ]1\.0)?|common development and distribution licen[sc]e", "opensource.org/licenses/cddl-1.0"),
+    ("CC-BY-4.0", "cc-by|cc by|creative commons", r"cc[- ]by[- ]4\.0|creative commons attribution 4\.0(?: international)?", "creativecommons.org/licenses/by/4.0"),
+    ("CC-BY-3.0", "cc-by|cc by|creative commons", r"cc[- ]by[- ]3\.0|creative commons attribution 3\.0(?: unported)?", "creativecommons.org/licenses/by/3.0"),
+    ("CC-BY-2.0", "cc-by|cc by|creative commons", r"cc[- ]by[- ]2\.0|creative commons attribution 2\.0", "creativecommons.org/licenses/by/2.0"),
+    ("CC-BY-SA-4.0", "cc-by|cc by|creative commons", r"cc[- ]by[- ]sa[- ]4\.0|creative commons attribution[- ]share ?alike 4\.0", "creativecommons.org/licenses/by-sa/4.0"),
+    ("CC-BY-SA-3.0", "cc-by|cc by|creative commons", r"cc[- ]by[- ]sa[- ]3\.0|creative commons attribution[- ]share ?alike 3\.0", "creativecommons.org/licenses/by-sa/3.0"),
+    ("CC-BY-NC-4.0", "cc-by|cc by|creative commons", r"cc[- ]by[- ]nc[- ]4\.0|creative commons attribution[- ]non ?commercial 4\.0", "creativecommons.org/licenses/by-nc/4.0"),
+    ("CC-BY-NC-3.0", "cc-by|cc by|creative commons", r"cc[- ]by[- ]nc[- ]3\.0|creative commons attribution[- ]non ?commercial 3\.0", "creativecommons.org/licenses/by-nc/3.0"),
+    ("CC-BY-ND-4.0", "cc-by|cc by|creative commons", r"cc[- ]by[- ]nd[- ]4\.0|creative commons attribution[- ]no ?deriv(?:ative)?s 4\.0", "creativecommons.org/licenses/by-nd/4.0"),
+    ("CC-BY-NC-SA-4.0", "cc-by|cc by|creative commons", r"cc[- ]by[- ]nc[- ]sa[- ]4\.0", "creativecommons.org/licenses/by-nc-sa/4.0"),
+    ("CC-BY-NC-SA-3.0", "cc-by|cc by|creative commons", r"cc[- ]by[- ]nc[- ]sa[- ]3\.0", "creativecommons.org/licenses/by-nc-sa/3.0"),
+    ("CC-BY-NC-ND-4.0", "cc-by|cc by|creative commons", r"cc[- ]by[- ]nc[- ]nd[- ]4\.0", "creativecommons.org/licenses/by-nc-nd/4.0"),
+    ("CDDL-1.0", "cddl|common development", r"cddl(?:[- ]1\.0)?|common development and distribution licen[sc]e", "opensource.org/licenses/cddl-1.0"),
     ("CECILL-2.1", "cecill", r"cecill(?:[- ]2\.1)?(?: licen[sc]e)?", "cecill.info/licences"),
     ("CPL-1.0", "common public", r"common public licen[sc]e(?: 1\.0)?", "opensource.org/licenses/cpl1.0"),
     ("ECL-2.0", "educational", r"educational community licen[sc]e", "opensource.org/licenses/ecl-2.0"),
@@ -61,8 +62,8 @@ LICENSES = (
     ("EPL-2.0", "eclipse", r"eclipse public licen[sc]e(?: -)?,? v(?:ersion)? ?2\.0", "eclipse.org/legal/epl-2.0"),
     ("EUPL-1.2", "european union", r"european union public licen[sc]e(?:,? v(?:ersion)? ?1\.2)?", "joinup.ec.europa.eu/collection/eupl"),
     ("GFDL-1.3", "documentation", r"gnu free documentation licen[sc]e", "gnu.org/licenses/fdl"),
-    ("GPL-2.0", "general public", r"gnu general public licen[sc]e,? v(?:ersion)? ?2(?:\.0)?|gpl ?v2", "gnu.org/licenses/old-licenses/gpl-2.0"),
-    ("GPL-3.0", "general public", r"gnu general public licen[sc]e,? v(?:ersion)? ?3(?:\.0)?|gpl ?v3", "gnu.org/licenses/gpl-3.0"),
+    ("GPL-2.0", "general public|gplv2|gpl v2", r"gnu general public licen[sc]e,? v(?:ersion)? ?2(?:\.0)?|gpl ?v2", "gnu.org/licenses/old-licenses/gpl-2.0"),
+    ("GPL-3.0", "general public|gplv3|gpl v3", r"gnu general public licen[sc]e,? v(?:ersion)? ?3(?:\.0)?|gpl ?v3", "gnu.org/licenses/gpl-3.0"),
     ("HPND", "historical permission", r"historical permission notice and disclaimer", "opensource.org/licenses/hpnd"),
     ("IPL-1.0", "ibm", r"ibm public licen[sc]e(?: 1\.0)?", "opensource.org/licenses/ipl-1.0"),
     ("ISC", "isc", r"isc licen[sc]e", "opensource.org/licenses/isc"),
@@ -72,8 +73,8 @@ LICENSES = (
     ("MIT", "mit", r"mit licen[sc]e", "opensource.org/licenses/mit"),
     ("MPL-1.1", "mozilla", r"mozilla public licen[sc]e,? v(?:ersion)?\.? ?1\.1", "mozilla.org/mpl/1.1"),
     ("MPL-2.0", "mozilla", r"mozilla public licen[sc]e,? v(?:ersion)?\.? ?2\.0", "mozilla.org/mpl/2.0"),
-    ("MS-PL", "microsoft", r"microsoft public licen[sc]e|ms-pl", "opensource.org/licenses/ms-pl"),
-    ("MS-RL", "microsoft", r"microsoft reciprocal licen[sc]e|ms-rl", "opensource.org/licenses/ms-rl"),
+    ("MS-PL", "microsoft|ms-pl", r"microsoft public licen[sc]e|ms-pl", "opensource.org/licenses/ms-pl"),
+    ("MS-RL", "microsoft|ms-rl", r"microsoft reciprocal licen[sc]e|ms-rl", "opensource.org/licenses/ms-rl"),
     ("MulanPSL-2.0", "mulan", r"mulan p(?:ermissive )?s(?:oftware )?l(?:icen[sc]e)?(?:,? v(?:ersion)? ?2)?", "license.coscl.org.cn/mulanpsl2"),
     ("NCSA", "illinois", r"university of illinois/?n?c?s?a? open source licen[sc]e", "opensource.org/licenses/ncsa"),
     ("ODbL-1.0", "database", r"open (?:data commons open )?database licen[sc]e", "opendatacommons.org/licenses/odbl"),
@@ -87,7 +88,7 @@ LICENSES = (
     ("Unlicense", "unlicense", r"(?:the )?unlicense", "unlicense.org"),
     ("UPL-1.0", "universal permissive", r"universal permissive licen[sc]e", "opensource.org/licenses/upl"),
     ("W3C", "w3c", r"w3c software(?: notice)?(?: and)? licen[sc]e", "w3.org/consortium/legal"),
-    ("WTFPL", "wtfpl", r"wtfpl|do what the f\w+ you want to public licen[sc]e", "wtfpl.net"),
+    ("WTFPL", "wtfpl|you want to public", r"wtfpl|do what the f\w+ you want to public licen[sc]e", "wtfpl.net"),
     ("X11", "x11", r"x11 licen[sc]e", "opensource.org/licenses/x11"),
     ("Zlib", "zlib", r"zlib licen[sc]e", "opensource.org/licenses/zlib"),
     ("ZPL-2.1", "zope", r"zope public licen[sc]e(?:,? v(?:ersion)? ?2\.1)?", "opensource.org/licenses/zpl-2.1"),
@@ -98,15 +99,16 @@ BASE_SURE = 0.6
 
 
 @cache
-def rules() -> tuple[tuple[str, str, str, int, float, re.Pattern], ...]:
-    """(rule, label, keyword, priority, confidence, regex) in order of priority."""
+def rules() -> tuple[tuple[str, str, tuple[str, ...], int, float, re.Pattern], ...]:
+    """(rule, label, keywords, priority, confidence, regex) in order of priority."""
     out = []
-    for spdx, keyword, title, address in LICENSES:
+    for spdx, words, title, address in LICENSES:
+        keywords = tuple(words.split("|"))
         bodies = {
-            "tag": (spdx.lower(), rf"spdx-license-identifier:\s*{re.escape(spdx.lower())}(?:-only|-or-later)?(?![\w.-]*\w)"),
-            "grant": (keyword, rf"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:{title})(?!\w)"),
-            "title": (keyword, rf"(?<!\w)(?:{title})(?!\w)"),
-            "address": (address, rf"(?:https?://)?(?:www\.)?{re.escape(address)}[\w./-]*"),
+            "tag": ((spdx.lower(),), rf"spdx-license-identifier:\s*{re.escape(spdx.lower())}(?:-only|-or-later)?(?![\w.-]*\w)"),
+            "grant": (keywords, rf"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:{title})(?!\w)"),
+            "title": (keywords, rf"(?<!\w)(?:{title})(?!\w)"),
+            "address": ((address,), rf"(?:https?://)?(?:www\.)?{re.escape(address)}[\w./-]*"),
         }
         for name, priority, sure in TEMPLATES:
             key, body = bodies[name]
@@ -115,8 +117,8 @@ def rules() -> tuple[tuple[str, str, str, int, float, re.Pattern], ...]:
 
 
 @cache
-def _gates() -> tuple[tuple[str, tuple], ...]:
-    by: dict[str, list] = {}
+def _gates() -> tuple[tuple[tuple[str, ...], tuple], ...]:
+    by: dict[tuple, list] = {}
     for r in rules():
         by.setdefault(r[2], []).append(r)
     return tuple((k, tuple(v)) for k, v in by.items())
@@ -125,8 +127,8 @@ def _gates() -> tuple[tuple[str, tuple], ...]:
 def detections(lowered: str) -> list[tuple[int, int, str, str, int, float]]:
     """(start, end, label, rule, priority, confidence) in characters, after suppression."""
     found = []
-    for keyword, group in _gates():
-        if keyword in lowered:
+    for keywords, group in _gates():
+        if any(k in lowered for k in keywords):
             for rule, label, _, priority, sure, regex in group:
                 found += [(m.start(), m.end(), label, rule, priority, sure) for m in regex.finditer(lowered)]
     found.sort(key=lambda d: (d[4], d[0] - d[1], d[0], d[3]))
