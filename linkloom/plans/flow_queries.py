@@ -379,6 +379,18 @@ def grf_rings(spark, sf):
     return graph.cycles(calls(spark, sf).where("relation = 'error'"), 3)
 
 
+@query("WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM v_call), p(path, last, hops) AS (SELECT ['U:1', dst], dst, 1 FROM e WHERE src = 'U:1' UNION ALL SELECT list_append(path, dst), dst, hops + 1 FROM p JOIN e ON e.src = p.last WHERE hops < 3 AND NOT list_contains(path, dst)) SELECT array_to_string(path, '>') AS path, hops, last AS end FROM p", CALL)
+def grf_paths_all(spark, sf):
+    """GRF-05, GRF-38 in part: as grf_paths, over all relations."""
+    return graph.paths(calls(spark, sf), "U:1", 3)
+
+
+@query("WITH e AS (SELECT DISTINCT src, dst FROM v_call) SELECT a.src || '>' || a.dst || '>' || b.dst AS cycle, 3 AS nodes FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND b.dst <> a.dst", CALL)
+def grf_rings_all(spark, sf):
+    """GRF-33 of three nodes, over all relations."""
+    return graph.cycles(calls(spark, sf), 3)
+
+
 @query("WITH e AS (SELECT DISTINCT src, dst FROM v_tx) SELECT a.src || '>' || a.dst AS cycle, 2 AS nodes FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst", TX)
 def grf_cycles(spark, sf):
     """GRF-37, GRF-40 of two accounts."""
