@@ -110,6 +110,14 @@ def cycles(edges: DataFrame, length: int) -> DataFrame:
     return closed.select(F.array_join("path", ">").alias("cycle"), F.lit(length).alias("nodes"))
 
 
+def rings(edges: DataFrame, least: int = 3, most: int = 6) -> DataFrame:
+    """Directed simple cycles of each length from least to most nodes."""
+    out = cycles(edges, least)
+    for length in range(least + 1, most + 1):
+        out = out.unionByName(cycles(edges, length))
+    return out
+
+
 def paths(edges: DataFrame, start: str, hops: int) -> DataFrame:
     """Directed simple paths from a node, of 1 to hops edges."""
     pairs = edges.where("src <> dst").select("src", "dst").distinct()

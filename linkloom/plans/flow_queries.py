@@ -363,19 +363,19 @@ def grf_components(spark, sf):
 @query("""WITH d AS (SELECT u, count(*) AS d FROM adj GROUP BY u), s AS (SELECT a.v AS x, b.v AS y, count(*) AS common, sum(CASE WHEN d.d > 1 THEN 1 / ln(d.d) END) AS aa, sum(1.0 / d.d) AS ra FROM adj a JOIN adj b ON a.u = b.u AND a.v < b.v JOIN d ON d.u = a.u GROUP BY 1, 2)
 SELECT x, y, common, round(common / CAST(dx.d + dy.d - common AS DOUBLE), 6) AS jaccard, round(aa, 6) AS adamic_adar, round(ra, 6) AS resource_allocation, dx.d * dy.d AS preferential, p.a IS NOT NULL AS linked FROM s JOIN d dx ON dx.u = x JOIN d dy ON dy.u = y LEFT JOIN pairs p ON p.a = x AND p.b = y""", ("v_call", "pairs", "adj"))
 def grf_linkpred(spark, sf):
-    """GRF-42, JN-06."""
+    """GRF-42 without Katz, JN-06."""
     return graph.link_scores(calls(spark, sf))
 
 
 @query("WITH RECURSIVE p(path, last, hops) AS (SELECT ['U:1', dst], dst, 1 FROM (SELECT DISTINCT src, dst FROM v_call WHERE relation = 'error') WHERE src = 'U:1' UNION ALL SELECT list_append(path, dst), dst, hops + 1 FROM p JOIN (SELECT DISTINCT src, dst FROM v_call WHERE relation = 'error') e ON e.src = p.last WHERE hops < 3 AND NOT list_contains(path, dst)) SELECT array_to_string(path, '>') AS path, hops, last AS end FROM p", CALL)
 def grf_paths(spark, sf):
-    """GRF-05, GRF-38: simple paths of up to three hops."""
+    """GRF-05, GRF-38 in part: directed simple paths of up to three hops on the error relation, without targets, amounts or revisits."""
     return graph.paths(calls(spark, sf).where("relation = 'error'"), "U:1", 3)
 
 
 @query("WITH e AS (SELECT DISTINCT src, dst FROM v_call WHERE relation = 'error') SELECT a.src || '>' || a.dst || '>' || b.dst AS cycle, 3 AS nodes FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND b.dst <> a.dst", CALL)
 def grf_rings(spark, sf):
-    """GRF-33."""
+    """GRF-33 in part: three nodes, on the error relation."""
     return graph.cycles(calls(spark, sf).where("relation = 'error'"), 3)
 
 
@@ -387,13 +387,19 @@ def grf_paths_all(spark, sf):
 
 @query("WITH e AS (SELECT DISTINCT src, dst FROM v_call) SELECT a.src || '>' || a.dst || '>' || b.dst AS cycle, 3 AS nodes FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND b.dst <> a.dst", CALL)
 def grf_rings_all(spark, sf):
-    """GRF-33 of three nodes, over all relations."""
+    """GRF-33 in part: three nodes, over all relations."""
     return graph.cycles(calls(spark, sf), 3)
 
 
+@query()
+def grf_rings_lengths(spark, sf):
+    """GRF-33, 3 to 6 nodes, on the error relation. No oracle: tested by brute force."""
+    return graph.rings(calls(spark, sf).where("relation = 'error'"))
+
+
 @query("WITH e AS (SELECT DISTINCT src, dst FROM v_tx) SELECT a.src || '>' || a.dst AS cycle, 2 AS nodes FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst", TX)
 def grf_cycles(spark, sf):
-    """GRF-37, GRF-40 of two accounts."""
+    """GRF-37, GRF-40 in part: two accounts, without amounts."""
     return graph.cycles(transfers(spark, sf), 2)
 
 
@@ -422,7 +428,7 @@ def grf_modularity(spark, sf):
 @query("""WITH p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS w FROM v_call GROUP BY 1, 2), e AS (SELECT a AS u, b AS v, w FROM p UNION ALL SELECT b, a, w FROM p), t AS (SELECT u, sum(w) AS t FROM e GROUP BY u), q AS (SELECT e.u, e.v, w / CAST(t AS DOUBLE) AS p FROM e JOIN t ON t.u = e.u),
 h AS (SELECT a.u, b.v, sum(a.p * b.p) AS q FROM q a JOIN q b ON a.v = b.u WHERE a.u <> b.v GROUP BY 1, 2) SELECT q.u AS node, round(sum(pow(q.p + coalesce(h.q, 0), 2)), 6) AS "constraint", count(*) AS degree FROM q LEFT JOIN h ON h.u = q.u AND h.v = q.v GROUP BY q.u""", CALL)
 def grf_structural_holes(spark, sf):
-    """GRF-10."""
+    """GRF-10 in part: the constraint."""
     return graph.structural_holes(calls(spark, sf))
 
 

@@ -67,6 +67,14 @@ def test_rings_of_all_relations(spark, edges):
     assert len(got) == len(set(got)) and set(got) == rings(edges, 3)
 
 
+def test_rings_of_all_lengths(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SF}/events.parquet')")
+    edges = set(con.sql(f"SELECT DISTINCT src, dst FROM ({VIEW_SQL['v_call']}) WHERE relation = 'error'").fetchall())
+    got = [(r.cycle, r.nodes) for r in QUERIES["grf_rings_lengths"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(x, n) for n in range(3, 7) for x in rings(edges, n)}
+
+
 def test_paths_of_all_relations(spark, edges):
     paths = level = [["U:1", b] for a, b in edges if a == "U:1"]
     for _ in range(2):
