@@ -1,10 +1,11 @@
-"""Graph queries over all relations."""
+"""Graph queries and operators without a relation, a length or a node left out."""
 
 from collections import defaultdict, deque
 
 import duckdb
 import pytest
 
+from linkloom.operators import graph
 from linkloom.plans.catalog import QUERIES
 from linkloom.plans.registry import VIEW_SQL
 
@@ -81,3 +82,10 @@ def test_paths_of_all_relations(spark, edges):
         level = [[*p, b] for p in level for a, b in edges if a == p[-1] and b not in p]
         paths = paths + level
     assert sorted(r.path for r in QUERIES["grf_paths_all"](spark, SF).collect()) == sorted(">".join(p) for p in paths)
+
+
+def test_every_victim_of_removal(spark):
+    chain = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(99)], "src string, dst string")
+    victims = spark.createDataFrame([(f"n{i:03}",) for i in range(2, 98)], "removed string")
+    got = {r.removed: (r.components, r.nodes_left) for r in graph.removal_fragmentation(chain, victims).collect()}
+    assert got == {f"n{i:03}": (2, 99) for i in range(2, 98)}
