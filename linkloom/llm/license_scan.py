@@ -1,7 +1,7 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
-Rules are regexes built from a table of licenses and a few templates (SPDX tag, "licensed under",
-title, address), in order of priority. A text is only matched against the rules of which it holds a keyword;
+Rules are regexes built from a table of licenses and a few templates (SPDX tag, further identifiers of a
+tag, "licensed under", title, address) and from a table of names without a version, in order of priority. A text is only matched against the rules of which it holds a keyword;
 what a rule can match always holds one.
 Of detections, one that lies inside a kept one of the same or a better priority is suppressed. The base
 phrases are counted on words, as the contract says, and their labels always stay.
@@ -13,8 +13,10 @@ one by one: repeated rows alike, null ids like any, and an empty table gives an
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -93,9 +95,26 @@ LICENSES = (
     ("Zlib", "zlib", r"zlib licen[sc]e", "opensource.org/licenses/zlib"),
     ("ZPL-2.1", "zope", r"zope public licen[sc]e(?:,? v(?:ersion)? ?2\.1)?", "opensource.org/licenses/zpl-2.1"),
 )
+#: Label, keywords, title regex of names without a version; a full name that holds one wins.
+FAMILIES = (
+    ("apache", "apache", r"apache (?:software )?licen[sc]e"),
+    ("bsd", "bsd", r"bsd(?:-style)? licen[sc]e"),
+    ("cc-by", "creative commons", r"creative commons attribution(?![- ](?:share|non|no ?deriv))"),
+    ("cc-by-sa", "creative commons", r"creative commons attribution[- ]share ?alike"),
+    ("cc-by-nc", "creative commons", r"creative commons attribution[- ]non ?commercial(?![- ](?:share|no ?deriv))"),
+    ("cc-by-nd", "creative commons", r"creative commons attribution[- ]no ?deriv(?:ative)?s"),
+    ("cc-by-nc-sa", "creative commons", r"creative commons attribution[- ]non ?commercial[- ]share ?alike"),
+    ("cc-by-nc-nd", "creative commons", r"creative commons attribution[- ]non ?commercial[- ]no ?deriv(?:ative)?s"),
+    ("epl", "eclipse", r"eclipse public licen[sc]e"),
+    ("gpl", "general public", r"gnu general public licen[sc]e"),
+    ("lgpl", "lesser", r"gnu lesser general public licen[sc]e"),
+    ("mpl", "mozilla", r"mozilla public licen[sc]e"),
+)
 #: name, priority (less is better), how sure one match is.
-TEMPLATES = (("tag", 0, 0.95), ("grant", 1, 0.9), ("title", 2, 0.7), ("address", 3, 0.6))
+TEMPLATES = (("tag", 0, 0.95), ("also", 0, 0.95), ("grant", 1, 0.9), ("title", 2, 0.7), ("address", 3, 0.6))
+FAMILY_TEMPLATES = (("grant", 4, 0.8), ("title", 4, 0.5))
 BASE_SURE = 0.6
+GRANT = r"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?"
 
 
 @cache
@@ -105,14 +124,18 @@ def rules() -> tuple[tuple[str, str, tuple[str, ...], int, float, re.Pattern], .
     for spdx, words, title, address in LICENSES:
         keywords = tuple(words.split("|"))
         bodies = {
-            "tag": ((spdx.lower(),), rf"spdx-license-identifier:\s*{re.escape(spdx.lower())}(?:-only|-or-later)?(?![\w.-]*\w)"),
-            "grant": (keywords, rf"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:{title})(?!\w)"),
+            "tag": ((spdx.lower(),), rf"spdx-license-identifier:\s*\(*{re.escape(spdx.lower())}(?:-only|-or-later)?(?![\w.-]*\w)"),
+            "also": ((spdx.lower(),), rf"spdx-license-identifier:\s*(?:\(*[\w.+-]+\)* (?:or|and|with) )+\(*(?P<id>{re.escape(spdx.lower())}(?:-only|-or-later)?)(?![\w.-]*\w)"),
+            "grant": (keywords, rf"{GRANT}(?:{title})(?!\w)"),
             "title": (keywords, rf"(?<!\w)(?:{title})(?!\w)"),
             "address": ((address,), rf"(?:https?://)?(?:www\.)?{re.escape(address)}[\w./-]*"),
         }
         for name, priority, sure in TEMPLATES:
             key, body = bodies[name]
             out.append((f"{spdx.lower()}:{name}", spdx.lower(), key, priority, sure, re.compile(body)))
+    for label, words, title in FAMILIES:
+        bodies = {"grant": rf"{GRANT}(?:{title})(?!\w)", "title": rf"(?<!\w)(?:{title})(?!\w)"}
+        out += [(f"{label}:{name}", label, tuple(words.split("|")), priority, sure, re.compile(bodies[name])) for name, priority, sure in FAMILY_TEMPLATES]
     return tuple(sorted(out, key=lambda r: (r[3], r[0])))
 
 
@@ -125,17 +148,32 @@ def _gates() -> tuple[tuple[tuple[str, ...], tuple], ...]:
 
 
 def detections(lowered: str) -> list[tuple[int, int, str, str, int, float]]:
-    """(start, end, label, rule, priority, confidence) in characters, after suppression."""
-    found = []
+    """(start, end, label, rule, priority, confidence) in characters, after suppression.
+
+    Rules see each run of white space as one space; places are those of the text itself.
+    """
+    flat, found = " ".join(lowered.split()), []
     for keywords, group in _gates():
-        if any(k in lowered for k in keywords):
+        if any(k in flat for k in keywords):
             for rule, label, _, priority, sure, regex in group:
-                found += [(m.start(), m.end(), label, rule, priority, sure) for m in regex.finditer(lowered)]
+                part = "id" if "id" in regex.groupindex else 0
+                found += [(*m.span(part), label, rule, priority, sure) for m in regex.finditer(flat)]
+    if not found:
+        return []
     found.sort(key=lambda d: (d[4], d[0] - d[1], d[0], d[3]))
     kept: list = []
     for d in found:
         if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
             kept.append(d)
+    if len(flat) < len(lowered):
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", lowered)]
+        starts = list(accumulate((b - a + 1 for a, b in words), initial=0))
+
+        def place(x: int) -> int:
+            i = bisect_right(starts, x) - 1
+            return words[i][0] + x - starts[i]
+
+        kept = [(place(d[0]), place(d[1] - 1) + 1, *d[2:]) for d in kept]
     return sorted(kept)
 
 

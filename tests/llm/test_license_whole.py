@@ -36,3 +36,27 @@ def test_each_alternative_alone(license):
     for text in [*examples(title), f"https://{address}", f"spdx-license-identifier: {label.lower()}"]:
         for whole in (text, f"released under the {text}."):
             assert label.lower() in {d[2] for d in license_scan.detections(whole)}, whole
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("see the gnu lesser general\n  public license v3 ", {"lgpl-3.0"}),
+        ("bsd license", {"bsd"}),
+        ("gnu lesser general public license", {"lgpl"}),
+        ("creative commons attribution", {"cc-by"}),
+        ("creative commons attribution-noncommercial", {"cc-by-nc"}),
+        ("new bsd license", {"bsd-3-clause"}),
+        ("creative commons attribution 4.0", {"cc-by-4.0"}),
+        ("spdx-license-identifier: mit or apache-2.0", {"mit", "apache-2.0"}),
+        ("spdx-license-identifier: (mit and bsd-3-clause) or\tgpl-2.0-only", {"mit", "bsd-3-clause", "gpl-2.0"}),
+        ("spdx-license-identifier: mit", {"mit"}),
+    ],
+)
+def test_wrapped_unversioned_and_compound(text, labels):
+    assert {d[2] for d in license_scan.detections(text)} == labels
+
+
+def test_spans_are_places_of_the_text():
+    text = " \n the  gnu lesser general\n\t public  license v3, then\r\n mit\nlicense"
+    assert [text[d[0] : d[1]] for d in license_scan.detections(text)] == ["gnu lesser general\n\t public  license v3", "mit\nlicense"]
