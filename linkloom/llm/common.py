@@ -64,10 +64,10 @@ def word_count(text: Column) -> Column:
 # --- byte kernels -----------------------------------------------------------------------------
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[_LOWER]
+BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+LOWER_BYTES = np.arange(256, dtype=np.uint8)
+LOWER_BYTES[65:91] += 32
+_BYTE_LOWER = BYTE_CODES[LOWER_BYTES]
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _STEP = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _IS_WORD = np.ones(256, bool)
@@ -75,7 +75,7 @@ _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 _POWERS = np.ones(1, np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
     global _POWERS
     if len(_POWERS) < n:
         with np.errstate(over="ignore"):
@@ -130,7 +130,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool, is_word: np.
     lengths = np.diff(np.append(head, len(at)))
     place = np.arange(len(at)) - np.repeat(head, lengths)
     with np.errstate(over="ignore"):
-        codes = (_BYTE_LOWER if lower else _BYTE)[data[at]] * _powers(int(lengths.max()))[place]
+        codes = (_BYTE_LOWER if lower else BYTE_CODES)[data[at]] * powers(int(lengths.max()))[place]
         hashes = mix(np.add.reduceat(codes, head))
     return hashes, np.searchsorted(begins, offsets)
 

@@ -8,9 +8,10 @@ the points in reach, so the work is linear. The stream is settled block by block
 by a block and the longest text. The last window of a task may be cut at powers of two, which need no
 padding. There is no shuffle, and a lost task is simply run again.
 
-Encoding gives the tokenizer's own ids. Words between spaces are encoded on their own and cached; words
-of plain letters go through byte-pair merging vectorised over all new words at once, any other word
-through the tokenizer itself.
+Encoding gives the tokenizer's own ids. A block of texts is cut into units as whole arrays: runs of ASCII
+letters, single digits and runs of other characters, or a whole word where it holds anything else. Units are
+told apart by 64-bit hashes; new ones of plain ASCII go through byte-pair merging vectorised over all of a
+length at once, other words through the tokenizer itself, and what was found is kept for the next blocks.
 
 Defined results: a null or empty text is one piece, the end id alone. Null ids and repeated rows are
 packed like any row, each on its own. An empty table gives an empty result. Sequence numbers are unique:
@@ -25,17 +26,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import BYTE_CODES, LOWER_BYTES, mix, powers, text_blocks
+
 CAPACITY, END = 2048, 1
 SENTENCE_PENALTY, INSIDE_PENALTY = 4, 48
 BLOCK_TOKENS = 1 << 20
-READ_BYTES = 1 << 22
-CACHE_WORDS = 600_000
+READ_BYTES = 1 << 21
+CACHE_UNITS, LONGEST_UNIT = 1_000_000, 64
+#: What a byte is to the cutting of units: between words, a letter, a digit, anything else, or unfit for it.
+_BETWEEN, _LETTER, _DIGIT, _OTHER, _UNFIT = range(5)
+_KIND = np.full(256, _UNFIT, np.uint8)
+_KIND[33:127] = _OTHER
+_KIND[[9, 10, 13, 32]] = _BETWEEN
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[[39, 60]] = _UNFIT  # the apostrophe begins pieces of its own, "<" the names of special tokens
 
 
 def tokenizer_path() -> str:
@@ -78,7 +88,13 @@ class WordEncoder:
         self.keys = np.append(self.keys, np.full(self.deepest, -1))
         self.ranks = np.append(self.ranks, np.zeros(self.deepest, np.int64))
         self.stops = np.array(sorted({vocab[x + self.suffix] for x in ".!?" if x + self.suffix in vocab} | {vocab[x] for x in (".</w>", "!</w>", "?</w>") if x in vocab}), np.uint32)
-        self.cache: dict[str, bytes] = {}
+        self.is_stop = np.zeros(max(self.whole.get_vocab(with_added_tokens=True).values()) + 1, bool)
+        self.is_stop[self.stops] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the table of known units: their sorted hashes, and of each the place and number of its ids."""
+        self.known, self.at, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     @staticmethod
     def _byte_names() -> list[str]:
@@ -111,41 +127,46 @@ class WordEncoder:
                 break
         return out
 
+    def merge(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units given as rows of bytes of one length, and their numbers: the best-ranked pair goes next, leftmost first."""
+        n, length = data.shape
+        ids = self.first[data]
+        ids[:, -1] = self.last[data[:, -1]]
+        size = np.full(n, length)
+        if length > 1:
+            ranks = self._rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, -1)
+            live = np.arange(n)
+            while len(live):
+                r = ranks[live]
+                at = r.argmin(1)
+                best = r[np.arange(len(live)), at]
+                go = best < 1 << 30
+                live, at, best = live[go], at[go], best[go]
+                if not len(live):
+                    break
+                cols = np.arange(length)[None, :]
+                shift = np.minimum(cols + (cols > at[:, None]), length - 1)
+                rows = np.take_along_axis(ids[live], shift, 1)
+                rows[np.arange(len(live)), at] = self.made[best]
+                ids[live] = rows
+                size[live] -= 1
+                left = size[live]
+                moved = np.minimum(np.arange(length - 1)[None, :] + (np.arange(length - 1)[None, :] >= at[:, None]), length - 2)
+                rr = np.take_along_axis(ranks[live], moved, 1)
+                rr[np.arange(length - 1)[None, :] >= (left - 1)[:, None]] = 1 << 30
+                for side in (at - 1, at):
+                    ok = np.flatnonzero((side >= 0) & (side + 1 < left))
+                    rr[ok, side[ok]] = self._rank(rows[ok, side[ok]], rows[ok, side[ok] + 1])
+                ranks[live] = rr
+        return ids, size
+
     def merge_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word: always the best-ranked pair next, leftmost first, for all words of a length at once."""
+        """Ids of each unit, as bytes."""
         out = [b""] * len(words)
         lengths = np.array([len(w) for w in words])
         for length in np.unique(lengths).tolist():
             which = np.flatnonzero(lengths == length)
-            data = np.frombuffer(b"".join([words[i] for i in which.tolist()]), np.uint8).reshape(-1, length)
-            ids = self.first[data]
-            ids[:, -1] = self.last[data[:, -1]]
-            size = np.full(len(ids), length)
-            if length > 1:
-                ranks = self._rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), -1)
-                live = np.arange(len(ids))
-                while len(live):
-                    r = ranks[live]
-                    at = r.argmin(1)
-                    best = r[np.arange(len(live)), at]
-                    go = best < 1 << 30
-                    live, at, best = live[go], at[go], best[go]
-                    if not len(live):
-                        break
-                    cols = np.arange(length)[None, :]
-                    shift = np.minimum(cols + (cols > at[:, None]), length - 1)
-                    rows = np.take_along_axis(ids[live], shift, 1)
-                    rows[np.arange(len(live)), at] = self.made[best]
-                    ids[live] = rows
-                    size[live] -= 1
-                    n = size[live]
-                    moved = np.minimum(np.arange(length - 1)[None, :] + (np.arange(length - 1)[None, :] >= at[:, None]), length - 2)
-                    rr = np.take_along_axis(ranks[live], moved, 1)
-                    rr[np.arange(length - 1)[None, :] >= (n - 1)[:, None]] = 1 << 30
-                    for side in (at - 1, at):
-                        ok = np.flatnonzero((side >= 0) & (side + 1 < n))
-                        rr[ok, side[ok]] = self._rank(rows[ok, side[ok]], rows[ok, side[ok] + 1])
-                    ranks[live] = rr
+            ids, size = self.merge(np.frombuffer(b"".join([words[i] for i in which.tolist()]), np.uint8).reshape(-1, length))
             flat = ids.astype(np.uint32).tobytes()
             for k, (i, n) in enumerate(zip(which.tolist(), size.tolist(), strict=True)):
                 out[i] = flat[4 * k * length : 4 * (k * length + n)]
@@ -158,36 +179,104 @@ class WordEncoder:
             return word.isprintable() and "<" not in word
         return bool(self.PLAIN.fullmatch(word))
 
-    def _learn(self, words: list[str]) -> None:
+    def _whole_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that were not cut into units."""
+        found: dict[str, bytes] = {}
         plain, other = [], []
         for w in words:
             (plain if self._is_plain(w) else other).append(w)
         if other:
             for w, e in zip(other, self.whole.encode_batch(other, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, np.uint32).tobytes()
+                found[w] = np.array(e.ids, np.uint32).tobytes()
         if plain:
             pieces = self.PIECES.findall("\n".join(plain).lower())
             unique = list(set(pieces) - {"\n"})
             ids = dict(zip(unique, self.merge_words([u.encode() for u in unique]), strict=True))
             ids["\n"] = b""
             cuts = [-1, *[i for i, p in enumerate(pieces) if p == "\n"], len(pieces)]
-            found = [ids[p] for p in pieces]
+            every = [ids[p] for p in pieces]
             for w, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True):
-                self.cache[w] = found[a + 1] if b - a == 2 else b"".join(found[a + 1 : b])
+                found[w] = b"".join(every[a + 1 : b])
+        return [found[w] for w in words]
+
+    def _learn(self, data: np.ndarray, hashes: np.ndarray, begins: np.ndarray, lengths: np.ndarray, whole: np.ndarray) -> None:
+        """Adds units to the table: their hashes, places in data, lengths, and whether they are uncut words."""
+        new_ids, counts, order = [], [], []
+        for length in np.unique(lengths[~whole]).tolist():
+            which = np.flatnonzero(~whole & (lengths == length))
+            ids, size = self.merge(LOWER_BYTES[data[begins[which][:, None] + np.arange(length)]])
+            new_ids.append(ids[np.arange(length) < size[:, None]].astype(np.uint32))
+            counts.append(size)
+            order.append(which)
+        which = np.flatnonzero(whole)
+        if len(which):
+            words = [data[b : b + n].tobytes().decode() for b, n in zip(begins[which].tolist(), lengths[which].tolist(), strict=True)]
+            made = self._whole_words(words)
+            new_ids.append(np.frombuffer(b"".join(made), np.uint32))
+            counts.append(np.array([len(m) // 4 for m in made], np.int64))
+            order.append(which)
+        count = np.concatenate(counts)
+        at = len(self.ids) + np.cumsum(count) - count
+        every = np.concatenate([self.known, hashes[np.concatenate(order)]])
+        by = np.argsort(every)
+        self.known, self.at, self.count = every[by], np.concatenate([self.at, at])[by], np.concatenate([self.count, count])[by]
+        self.ids = np.concatenate([self.ids, *new_ids])
+
+    def encode_block(self, data: np.ndarray, offsets: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a block, one after the other, and the number of each; end closes every text."""
+        if len(self.known) > CACHE_UNITS:
+            self._forget()
+        texts = len(offsets) - 1
+        kind = _KIND[data]
+        inside = kind != _BETWEEN
+        at = np.flatnonzero(inside)
+        if len(at):
+            begin = np.empty(len(data), bool)
+            begin[0], begin[1:] = inside[0], inside[1:] & ~inside[:-1]
+            cuts = offsets[:-1][offsets[:-1] < len(data)]
+            begin[cuts] = inside[cuts]
+            word = np.flatnonzero(begin[at])
+            size = np.diff(np.append(word, len(at)))
+            whole = np.bitwise_or.reduceat(kind[at] == _UNFIT, word) | (size > LONGEST_UNIT)
+            uncut = np.zeros(len(data), bool)
+            uncut[at] = np.repeat(whole, size)
+            turn = np.empty(len(data), bool)
+            turn[0], turn[1:] = True, kind[1:] != kind[:-1]
+            begin |= inside & ~uncut & (turn | (kind == _DIGIT))
+            head = np.flatnonzero(begin[at])
+            size = np.diff(np.append(head, len(at)))
+            place = np.arange(len(at)) - np.repeat(head, size)
+            kept = data[at]
+            with np.errstate(over="ignore"):
+                codes = BYTE_CODES[np.where(uncut[at], kept, LOWER_BYTES[kept])] * powers(int(size.max()))[place]
+                hashes = mix(np.add.reduceat(codes, head))
+            unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+            where = np.searchsorted(self.known, unique)
+            fresh = self.known[np.minimum(where, len(self.known) - 1)] != unique if len(self.known) else np.ones(len(unique), bool)
+            if fresh.any():
+                f = first[fresh]
+                self._learn(data, unique[fresh], at[head[f]], size[f], uncut[at[head[f]]])
+                where = np.searchsorted(self.known, unique)
+            where = where[back]
+            count = self.count[where]
+            upto = np.cumsum(count)
+            flat = self.ids[np.repeat(self.at[where] - (upto - count), count) + np.arange(upto[-1])]
+            ends = np.concatenate([[0], upto])[np.searchsorted(at[head], offsets)]
+        else:
+            flat, ends = np.zeros(0, np.uint32), np.zeros(texts + 1, np.int64)
+        each = np.diff(ends)
+        if end is None:
+            return flat, each
+        out = np.full(len(flat) + texts, end, np.uint32)
+        out[np.arange(len(flat)) + np.repeat(np.arange(texts), each)] = flat
+        return out, each + 1
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        self.cache[""] = b""
-        get = self.cache.get
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        found = [list(map(get, words)) for words in split]
-        fresh = [i for i, f in enumerate(found) if None in f]
-        if fresh:
-            self._learn(list({w for i in fresh for w, f in zip(split[i], found[i], strict=True) if f is None}))
-            for i in fresh:
-                found[i] = list(map(get, split[i]))
-        return [np.frombuffer(b"".join(f), np.uint32) for f in found]
+        out = []
+        for _, _, data, offsets in text_blocks(pa.array(texts, pa.large_string()), READ_BYTES):
+            flat, each = self.encode_block(data, offsets)
+            out += np.split(flat, np.cumsum(each)[:-1])
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -206,22 +295,20 @@ def cut_points(points: np.ndarray, penalties: np.ndarray, capacity: int = CAPACI
     cost(j) = min over i within capacity of cost(i) + capacity - (points[j] - points[i]) + penalties[j];
     cost(i) + points[i] is kept in a monotone queue.
     """
-    value, place, which = [0.0], [0], [-1]  # the queue: cost + position, position, point
-    head = 0
+    size = len(points) + 1
+    value, place, which = [0.0] * size, [0] * size, [-1] * size  # the queue: cost + position, position, point
+    head, tail = 0, 1
     back: list[int] = []
+    keep = back.append
     for j, (p, fee) in enumerate(zip(points.tolist(), penalties.tolist(), strict=True)):
-        reach = p - capacity
-        while place[head] < reach:
+        while place[head] < p - capacity:
             head += 1
-        back.append(which[head])
+        keep(which[head])
         new = value[head] + capacity + fee
-        while len(value) > head and value[-1] >= new:
-            value.pop()
-            place.pop()
-            which.pop()
-        value.append(new)
-        place.append(p)
-        which.append(j)
+        while tail > head and value[tail - 1] >= new:
+            tail -= 1
+        value[tail], place[tail], which[tail] = new, p, j
+        tail += 1
     out, j = [], len(points) - 1
     while j >= 0:
         out.append(int(points[j]))
@@ -266,77 +353,50 @@ def _packer(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         context = TaskContext.get()
-        serial = [(context.partitionId() if context else 0) << 33]
-        keys, docs, starts = [], [], []  # what waits to be packed: of each text, its ids from start on
-
-        def settle(last: bool) -> pa.RecordBatch | None:
-            nonlocal keys, docs, starts
-            sizes = np.array([len(d) - s for d, s in zip(docs, starts, strict=True)], np.int64)
-            total = int(sizes.sum())
-            stream = np.concatenate([d[s:] for d, s in zip(docs, starts, strict=True)])
-            ends = np.cumsum(sizes)
-            sentences = np.flatnonzero(np.isin(stream, enc.stops)) + 1
-            cuts = choose(ends, sentences[sentences < total], total, capacity)
-            begins = [0, *cuts[:-1]]
+        serial = (context.partitionId() if context else 0) << 33
+        # What waits to be packed: ids, and of each text its key, its number of ids and where its first one would stand.
+        streams: list[np.ndarray] = []
+        keys: list[pa.Array] = []
+        tokens: list[np.ndarray] = []
+        ahead, waiting = 0, 0  # ids of the first text that are packed already, ids that wait
+
+        def settle(last: bool) -> pa.RecordBatch:
+            nonlocal streams, keys, tokens, ahead, waiting, serial
+            stream, key, size = np.concatenate(streams), pa.concat_arrays(keys), np.concatenate(tokens)
+            ends = np.cumsum(size) - ahead
+            sentences = np.flatnonzero(enc.is_stop[stream]) + 1
+            cuts = choose(ends, sentences[sentences < len(stream)], len(stream), capacity)
             if last:
-                at = begins.pop()
-                cuts.pop()
-                for n in tail_cuts(total - at, capacity):
-                    begins.append(at)
-                    at += n
-                    cuts.append(at)
+                at = cuts[-2] if len(cuts) > 1 else 0
+                cuts = [*cuts[:-1], *(at + np.cumsum(tail_cuts(len(stream) - at, capacity))).tolist()]
             else:  # the last windows wait for what follows
-                drop = min(len(cuts) - 1, 4)
-                if drop:
-                    begins, cuts = begins[:-drop], cuts[:-drop]
-            rows: list[list] = [[] for _ in names]
-            doc, first = 0, 0  # the text at hand and where it begins in the stream
-            done = 0
-            for a, b in zip(begins, cuts, strict=True):
-                at = a
-                while at < b:
-                    while ends[doc] <= at:
-                        first = int(ends[doc])
-                        doc += 1
-                    upto = min(b, int(ends[doc]))
-                    piece = stream[at:upto]
-                    row = (keys[doc], starts[doc] + at - first, upto - at, zlib.crc32(piece.astype("<u4").tobytes()), len(docs[doc]), serial[0], at - a, piece)
-                    for column, v in zip(rows, row, strict=False):
-                        column.append(v)
-                    at = upto
-                serial[0] += 1
-                done = b
-            while doc < len(docs) and ends[doc] <= done:
-                first = int(ends[doc])
-                doc += 1
-            if doc < len(docs):
-                keys, docs, starts = keys[doc:], docs[doc:], [starts[doc] + done - first, *starts[doc + 1 :]]
-            else:
-                keys, docs, starts = [], [], []
-            kinds = [None, *[pa.int64()] * 6, *[pa.list_(pa.int32())] * with_ids]
-            arrays = [pa.array(c, k or key_type) for c, k in zip(rows, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, names)
+                cuts = cuts[: max(1, len(cuts) - 4)]
+            cut = np.array(cuts, np.int64)
+            upto = np.union1d(cut, ends[ends <= cut[-1]])
+            begin = np.concatenate([[0], upto[:-1]])
+            doc, seq = np.searchsorted(ends, begin, "right"), np.searchsorted(cut, begin, "right")
+            raw = memoryview(np.ascontiguousarray(stream, "<u4")).cast("B")
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), upto.tolist(), strict=True)]
+            columns = [key.take(pa.array(doc)), *(pa.array(c, pa.int64()) for c in (begin - (ends - size)[doc], upto - begin, crc, size[doc], serial + seq, begin - np.concatenate([[0], cut])[seq]))]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, upto[-1]), pa.int32()), pa.array(stream[: upto[-1]].view(np.int32), pa.int32())))
+            serial += len(cut)
+            done = int(np.searchsorted(ends, cut[-1], "right"))
+            streams, keys, tokens = [stream[cut[-1] :]], [key.slice(done)], [size[done:]]
+            waiting = len(stream) - int(cut[-1])
+            ahead = int(size[done]) - int(ends[done] - cut[-1]) if done < len(size) else 0
+            return pa.RecordBatch.from_arrays(columns, names)
 
-        key_type = pa.int64()
-        waiting = 0
         for batch in batches:
-            key_type = batch.column(0).type
-            sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64))
-            s = 0
-            while s < batch.num_rows:
-                upto = max(s + 1, int(np.searchsorted(sizes, (sizes[s - 1] if s else 0) + READ_BYTES, "right")))
-                part = batch.slice(s, upto - s)
-                s = upto
-                texts = part.column(1).fill_null("").to_pylist()
-                keys += part.column(0).to_pylist()
-                new = [np.append(x, np.uint32(END)) for x in enc.encode(texts)]
-                docs += new
-                starts += [0] * len(new)
-                waiting += sum(map(len, new))
+            for a, b, data, offsets in text_blocks(batch.column(1), READ_BYTES):
+                flat, each = enc.encode_block(data, offsets, END)
+                streams.append(flat)
+                keys.append(batch.column(0).slice(a, b - a))
+                tokens.append(each)
+                waiting += len(flat)
                 if waiting >= BLOCK_TOKENS:
                     yield settle(False)
-                    waiting = sum(len(d) - s for d, s in zip(docs, starts, strict=True))
-        if docs:
+        if waiting:
             yield settle(True)
 
     return run
