@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +39,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes what materialize() wrote for df; only for tables that nothing reads any more."""
+    """Deletes what materialize() wrote for df, or for the one written table that df reads; only once nothing reads it any more."""
     spark = df.sparkSession
     for f in df.inputFiles()[:1]:
         path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if path.getParent().getName() == "linkloom":
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spare(columns: Sequence[str], name: str) -> str:
+    """name, with underscores appended until no column is called so (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def release(spark: SparkSession) -> None:

@@ -130,8 +130,11 @@ def test_ngram_join(docs, empty, k, percent):
     assert ngram_join.join(empty, k, percent).count() == 0
 
 
-def test_ngram_join_splits_large_units(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 2000)
+@pytest.mark.parametrize(("block", "crowded"), [(2000, 2000), (2000, 5), (1_200_000, 5)])
+def test_ngram_join_splits_large_units(spark, monkeypatch, block, crowded):
+    """Heavy units go through blocks and the second round, and shingles of crowded buckets take their own way."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "CROWDED", crowded)
     r = np.random.default_rng(3)
     rows = []
     for i in range(60):
@@ -154,6 +157,46 @@ def test_ngram_join_splits_large_units(spark, monkeypatch):
     assert {x.doc_id: x.component_id for x in ngram_join.join(df).collect()} == {i: find(i) for i in sets}
 
 
+def test_ngram_join_second_round_links_over_blocks(spark, monkeypatch):
+    """Two clusters share rare shingles but only some sets link: every link over blocks is found."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 1500)
+    monkeypatch.setattr(ngram_join, "SET_WEIGHT", 100)
+    r = np.random.default_rng(8)
+    words_ = [f"q{i}" for i in range(60)]
+    rows = []
+    for i in range(80):
+        w = list(words_)
+        for at in r.integers(0, len(w), 1 + i % 4):
+            w[at] = f"z{i}"
+        rows.append((f"id-{i:03d}", " ".join(w), i, i, i))
+    df = spark.createDataFrame(rows, "doc_id string, text string, kept_id int, times int, kept_mark int")
+    sets = {x[0]: shingles(x[1], 4) for x in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i in sets:
+        for j in sets:
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    assert {x.doc_id: x.component_id for x in ngram_join.join(df).collect()} == {i: find(i) for i in sets}
+    kept = ngram_join.one_of_each(df, 4, 85)
+    assert kept.columns == df.columns
+    assert sorted(x.doc_id for x in kept.collect()) == sorted({find(i) for i in sets})
+
+
+def test_ngram_join_rows_that_share_an_id(spark):
+    """Of two texts under one id only that which names its component stays; ids of text work."""
+    a, b, c = (" ".join(f"{p}{i}" for i in range(30)) for p in "abc")
+    rows = [("k1", a), ("k2", b), ("k2", c), ("k1", c), ("k1", a), (None, a), ("k3", None), ("k3", ""), ("k4", b)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    kept = sorted((x.doc_id or "", x.text or "") for x in ngram_join.one_of_each(df, 5, 80).collect())
+    assert len(kept) == 4 and kept[0] == ("", a) and kept[2] == ("k2", b) and kept[3][0] == "k3"
+    assert kept[1][0] == "k1" and kept[1][1] in (a, c)
+
+
 def test_packing_round_trip(docs, empty):
     got = packing.pack(docs, with_ids=True)
     rows = got.collect()
