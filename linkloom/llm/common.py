@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Characters that separate words in the contracts: space and \t \n \v \f \r.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
+#: Rows of a few columns that may be broadcast, and parts a hot key is dealt into beyond them.
+FEW_ROWS, SALTS = 100_000, 32
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,9 +24,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir; one of our own where it is unset (tests)."""
+    """The folder that all machines share: spark.checkpoint.dir. Where it is unset, one of our own on a single machine (tests), else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         where = tempfile.mkdtemp(prefix="linkloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/linkloom"
@@ -55,6 +59,20 @@ def spare(columns: Sequence[str], name: str) -> str:
     return name
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: Callable[[str, str], Column], how: str = "inner") -> DataFrame:
+    """Joins left (alias l), any of whose keys may be hot, with the written table right (alias r), one row a key.
+
+    Right is broadcast if it has at most FEW_ROWS rows, counted; else every right row is repeated SALTS
+    times and left is dealt over the copies by row number.
+    """
+    if right.count() <= FEW_ROWS:
+        return left.alias("l").join(F.broadcast(right).alias("r"), on("l", "r"), how)
+    salt = spare([*left.columns, *right.columns], "salt")
+    left = left.withColumn(salt, F.monotonically_increasing_id() % SALTS)
+    right = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    return left.alias("l").join(right.alias("r"), on("l", "r") & (F.col(f"l.`{salt}`") == F.col(f"r.`{salt}`")), how)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now: it does so when the driver collects garbage."""
     gc.collect()

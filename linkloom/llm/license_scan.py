@@ -147,6 +147,29 @@ def _gates() -> tuple[tuple[tuple[str, ...], tuple], ...]:
     return tuple((k, tuple(v)) for k, v in by.items())
 
 
+def suppressed(found: list[tuple]) -> list[tuple]:
+    """The detections that lie in no other of better priority, or of the same and longer (then earlier, then first by rule).
+
+    A tree over the starts holds the farthest end of the kept ones that begin at or before each.
+    """
+    starts = sorted({d[0] for d in found})
+    far = [0] * (len(starts) + 1)
+    kept = []
+    for d in sorted(found, key=lambda d: (d[4], d[0] - d[1], d[0], d[3])):
+        place = bisect_right(starts, d[0])
+        end, i = 0, place
+        while i:
+            end = max(end, far[i])
+            i &= i - 1
+        if end < d[1]:
+            kept.append(d)
+            i = place
+            while i < len(far):
+                far[i] = max(far[i], d[1])
+                i += i & -i
+    return kept
+
+
 def detections(lowered: str) -> list[tuple[int, int, str, str, int, float]]:
     """(start, end, label, rule, priority, confidence) in characters, after suppression.
 
@@ -160,11 +183,7 @@ def detections(lowered: str) -> list[tuple[int, int, str, str, int, float]]:
                 found += [(*m.span(part), label, rule, priority, sure) for m in regex.finditer(flat)]
     if not found:
         return []
-    found.sort(key=lambda d: (d[4], d[0] - d[1], d[0], d[3]))
-    kept: list = []
-    for d in found:
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
-            kept.append(d)
+    kept = suppressed(found)
     if len(flat) < len(lowered):
         words = [(m.start(), m.end()) for m in re.finditer(r"\S+", lowered)]
         starts = list(accumulate((b - a + 1 for a, b in words), initial=0))

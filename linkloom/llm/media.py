@@ -18,7 +18,8 @@ query's own class is among its matches where it has another member. The other co
 
 Defined results: a null or empty recording has no codes and no match. Audio shorter than one filter
 window is padded with silence to give one code. Null ids can't be queries or be looked up. Rows that
-repeat an id are looked up together, each compared by its own codes. An empty table gives an empty result.
+repeat an id are looked up together, each compared by its own codes. An id that is no whole number is as
+good as null to the search. An empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -128,13 +129,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             crc = [zlib.crc32(c.tobytes()) for c in codes]
             name = [hashlib.blake2b(c.tobytes(), digest_size=16).digest() for c in codes]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, codes)]), pa.int32()), pa.array(np.concatenate(codes).view(np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(crc, pa.int64()), pa.array(name, pa.binary())], ["key", "codes", "crc", "print"])
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(crc, pa.int64()), pa.array(name, pa.binary()), part.column(2)], ["key", "codes", "crc", "print", "id"])
 
 
 def fingerprints(media: DataFrame, content: str, key: str) -> DataFrame:
-    """key, codes (array of 32-bit integers), crc, print (128-bit hash of the codes). A text column is taken as its UTF-8 bytes."""
+    """key, codes (array of 32-bit integers), crc, print (128-bit hash of the codes), id (the key as a whole number). A text column is taken as its UTF-8 bytes."""
     kind = media.schema[key].dataType.simpleString()
-    return media.select(F.col(key).alias("key"), F.col(content).cast("binary").alias("b")).mapInArrow(_fingerprints, f"key {kind}, codes array<int>, crc bigint, print binary")
+    return media.select(F.col(key).alias("key"), F.col(content).cast("binary").alias("b"), F.col(key).try_cast("bigint").alias("id")).mapInArrow(_fingerprints, f"key {kind}, codes array<int>, crc bigint, print binary, id bigint")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -230,8 +231,9 @@ def _searcher(block: Broadcast, step: int):
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                known = np.array(part.column(0).is_valid())
-                keys = np.array(part.column(0).cast(pa.int64()).fill_null(0), np.int64)
+                ids = part.column(4)
+                known = np.array(ids.is_valid())
+                keys = np.array(ids.fill_null(0), np.int64)
                 rec, query, shift, votes, rate = index.search(*_lists(part.column(1)))
                 match = np.where(index.low[query] != keys[rec], index.low[query], index.high[query])
                 keep = known[rec] & (match != keys[rec])
@@ -269,8 +271,8 @@ def align(media: DataFrame, content: str, key: str, step: int = QUERY_STEP) -> D
     """One row a recording: its best other query recording, the offset in frames, votes and bit errors; query_class and matches as told above."""
     spark = media.sparkSession
     kind = media.schema[key].dataType.simpleString()
-    asked = fingerprints(media.where(F.col(key) % step == 0), content, key).where(F.size("codes") > 0)
-    asked = materialize(asked.groupBy("print").agg(F.first("codes").alias("codes"), F.min("key").alias("low"), F.max("key").alias("high")), "asked")
+    asked = fingerprints(media.where(F.col(key).try_cast("bigint") % step == 0), content, key).where(F.size("codes") > 0)
+    asked = materialize(asked.groupBy("print").agg(F.first("codes").alias("codes"), F.min("id").alias("low"), F.max("id").alias("high")), "asked")
     match = "struct<match_id:bigint,frame_offset:bigint,votes:bigint,bit_error_rate:double>"
     rank = lambda s: F.struct(s["bit_error_rate"] <= MAX_BIT_ERRORS, s["votes"], -s["bit_error_rate"], -s["match_id"])
     out = rows = None
@@ -282,6 +284,6 @@ def align(media: DataFrame, content: str, key: str, step: int = QUERY_STEP) -> D
         found = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(block), step), f"{form}, new_class bigint, new_best {match}, new_matches array<{match.replace('match_id', 'query_class')}>")
         if out is not None:
             found = found.withColumns({"new_class": F.coalesce("query_class", "new_class"), "new_matches": F.concat("matches", "new_matches"), "new_best": F.when(F.col("best").isNull() | (rank(F.col("new_best")) > rank(F.col("best"))), F.col("new_best")).otherwise(F.col("best"))})
-        out = found.select("key", "codes", "crc", "print", F.col("new_class").alias("query_class"), F.col("new_best").alias("best"), F.col("new_matches").alias("matches"))
+        out = found.select("key", "codes", "crc", "print", "id", F.col("new_class").alias("query_class"), F.col("new_best").alias("best"), F.col("new_matches").alias("matches"))
     aligned = F.coalesce(F.col("best.bit_error_rate") <= MAX_BIT_ERRORS, F.lit(False))
     return out.select(F.col("key").alias(key), F.size("codes").cast("long").alias("n_codes"), F.col("crc").alias("codes_crc32"), F.col("best.match_id").cast(kind).alias("match_id"), "best.frame_offset", "best.votes", "best.bit_error_rate", aligned.alias("aligned"), F.col("query_class").cast(kind).alias("query_class"), "matches")

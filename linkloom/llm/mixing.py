@@ -8,7 +8,8 @@ often as fits and once more below a threshold.
 
 Defined results: a null or empty text has size 0 and is never counted; a null source is a source of its
 own, ranked last; a null id hashes as an empty one. Repeated rows share a hash and are taken together.
-An empty table gives an empty result. Other columns of the input play no part.
+An empty table gives an empty result. Other columns of the input play no part, whatever their names.
+Tables with a row a source are broadcast once counted; a source that holds most rows stays spread.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import materialize, word_count
+from linkloom.llm.common import discard, join_hot, materialize, spare, word_count
 
 BITS, LEVELS = 12, 5
 MAX_EPOCHS = 3
@@ -47,8 +48,12 @@ def targets(sizes: DataFrame) -> DataFrame:
     return per.select("__s", "__size", F.when(F.col("__capped"), cap.cast("double")).otherwise(share).alias("__target"))
 
 
+def _same_source(left: str, right: str) -> Column:
+    return F.col(f"{left}.__s").eqNullSafe(F.col(f"{right}.__s"))
+
+
 def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
-    """Per source: __q whole epochs and __below, the last hash value of one epoch more (null: none)."""
+    """A written table, per source: __q whole epochs and __below, the last hash value of one epoch more (null: none)."""
     q = F.when(F.col("__size") > 0, F.floor(F.col("__target") / F.col("__size"))).otherwise(0).cast("long")
     goals = goals.withColumn("__q", q).withColumn("__b", F.col("__target") - F.col("__q") * F.col("__size"))
     goals = materialize(goals, "mixing-goals")
@@ -56,16 +61,22 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     edge = goals.select("__s", "__b", zero.alias("__at"), zero.alias("__cum"))
     for level in range(1, LEVELS + 1):
         up, here = BITS * (LEVELS - level + 1), BITS * (LEVELS - level)
-        inside = sized.alias("d").join(edge.alias("s"), F.expr("d.__s <=> s.__s"))
-        inside = inside.where(F.shiftright("d.__h", up) == F.col("s.__at"))
-        hist = inside.groupBy("s.__s", F.shiftright("d.__h", here).alias("__k")).agg(F.sum("d.__n").alias("__n"), F.first("s.__b").alias("__b"), F.first("s.__cum").alias("__cum"))
+        inside = join_hot(sized, edge, _same_source).where(F.shiftright("l.__h", up) == F.col("r.__at"))
+        hist = inside.groupBy("r.__s", F.shiftright("l.__h", here).alias("__k")).agg(F.sum("l.__n").alias("__n"), F.first("r.__b").alias("__b"), F.first("r.__cum").alias("__cum"))
         hist = hist.withColumn("__to", F.col("__cum") + F.sum("__n").over(Window.partitionBy("__s").orderBy("__k")))
         past = hist.where(F.col("__to") > F.col("__b")).groupBy("__s").agg(F.min_by(F.struct("__k", "__to", "__n", "__b"), "__k").alias("e"))
-        edge = past.select("__s", F.col("e.__b").alias("__b"), F.col("e.__k").alias("__at"), (F.col("e.__to") - F.col("e.__n")).alias("__cum"), F.col("e.__n").alias("__last"))
+        before = edge if level > 1 else None
+        edge = materialize(past.select("__s", F.col("e.__b").alias("__b"), F.col("e.__k").alias("__at"), (F.col("e.__to") - F.col("e.__n")).alias("__cum"), F.col("e.__n").alias("__last")), "mixing-edge")
+        if before is not None:
+            discard(before)
     # The boundary value itself is taken where that comes nearer to the budget.
     nearer = 2 * (F.col("__b") - F.col("__cum")) > F.col("__last")
-    edge = edge.select("__s", F.when(nearer, F.col("__at")).otherwise(F.col("__at") - 1).alias("__below"))
-    return goals.alias("g").join(edge.alias("e"), F.expr("g.__s <=> e.__s"), "left").select("g.__s", "g.__size", "g.__target", "g.__q", "e.__below")
+    last = edge.select("__s", F.when(nearer, F.col("__at")).otherwise(F.col("__at") - 1).alias("__below"))
+    plan = goals.alias("g").join(last.alias("e"), F.expr("g.__s <=> e.__s"), "left").select("g.__s", "g.__size", "g.__target", "g.__q", "e.__below")
+    plan = materialize(plan, "mixing-plan")
+    discard(goals)
+    discard(edge)
+    return plan
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -73,19 +84,21 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     sized = docs.select(F.col(key).alias("__key"), F.col(source).alias("__s"), word_count(F.col(text)).alias("__n"), hash60(F.col(key), F.col(text)).alias("__h"), *carry)
     sized = materialize(sized, "mixing")
     plan = thresholds(sized, targets(sized))
-    joined = sized.alias("d").join(plan.alias("p"), F.expr("d.__s <=> p.__s"))
-    copies = F.col("p.__q") + F.coalesce(F.col("d.__h") <= F.col("p.__below"), F.lit(False)).cast("long")
-    return joined.select(F.col("d.__key").alias(key), F.col("d.__n").alias("size"), F.col("p.__size").alias("source_size"), F.col("p.__target").alias("target"), (F.col("d.__n") * copies).alias("taken"), copies.alias("copies"), "d.__h", *(f"d.{c}" for c in carry))
+    joined = join_hot(sized, plan, _same_source)
+    copies = F.col("r.__q") + F.coalesce(F.col("l.__h") <= F.col("r.__below"), F.lit(False)).cast("long")
+    return joined.select(F.col("l.__key").alias(key), F.col("l.__n").alias("size"), F.col("r.__size").alias("source_size"), F.col("r.__target").alias("target"), (F.col("l.__n") * copies).alias("taken"), copies.alias("copies"), *(F.col(f"l.`{c}`") for c in carry))
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with docs' columns."""
     sized = docs.select(F.col(source).alias("__s"), word_count(F.col(text)).alias("__n"), hash60(F.col(key), F.col(text)).alias("__h"))
     sized = materialize(sized, "mixing")
-    plan = materialize(thresholds(sized, targets(sized)).select("__s", "__q", "__below"), "mixing-plan")
-    joined = docs.withColumn("__h", hash60(F.col(key), F.col(text))).alias("d").join(plan.alias("p"), F.col(f"d.{source}").eqNullSafe(F.col("p.__s")))
-    copies = F.col("__q") + F.coalesce(F.col("__h") <= F.col("__below"), F.lit(False)).cast("long")
-    return joined.withColumn("__c", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)))).select(*(F.col(f"d.`{c}`") for c in docs.columns))
+    plan = thresholds(sized, targets(sized))
+    discard(sized)
+    joined = join_hot(docs, plan, lambda left, right: F.col(f"{left}.`{source}`").eqNullSafe(F.col(f"{right}.__s")))
+    copies = F.col("r.__q") + F.coalesce(hash60(F.col(f"l.`{key}`"), F.col(f"l.`{text}`")) <= F.col("r.__below"), F.lit(False)).cast("long")
+    times = F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)))
+    return joined.select(*(F.col(f"l.`{c}`") for c in docs.columns), times.alias(spare(docs.columns, "copy"))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: The same result by sorting: running sums in hash order instead of nested histograms.

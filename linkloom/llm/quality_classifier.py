@@ -8,7 +8,8 @@ order so that reruns agree. Scoring is one narrow pass over the whole text of ev
 
 Defined results: a null or empty text is scored as one chunk of zero bytes. A label table without both
 classes gives every row the share of 1s (0.5 without any). Repeated rows score alike; null ids are
-ordinary rows that are never trained on; an empty table gives an empty result.
+ordinary rows that are never trained on; an id with conflicting labels is never trained on, and of texts
+that share an id the smallest is; an empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -134,12 +135,12 @@ def train(texts: list[bytes], labels: list[int]) -> ByteNet | float:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, text: str = "text", key: str = "doc_id", per_class: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
     """At most per_class rows of each class (0 and 1), in hash order, none of them held out: key, label, text."""
-    rows = labels.where(F.col(key).isNotNull() & ~held_out(F.col(key)) & F.col(target).isin(0, 1)).select(F.col(key).alias("k"), F.col(target).alias("label"))
+    rows = labels.where(F.col(key).isNotNull() & ~held_out(F.col(key)) & F.col(target).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.min(target).alias("label"), F.max(target).alias("other")).where("label = other").drop("other")
     order = F.xxhash64(F.col("k"), F.lit(target))
     ids = [rows.where(F.col("label") == c).orderBy(order, "k").limit(per_class) for c in (0, 1)]
-    ids = ids[0].unionByName(ids[1]).dropDuplicates(["k"])  # at most 2 x per_class ids
+    ids = ids[0].unionByName(ids[1])  # at most 2 x per_class ids
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.length("text") <= chars)
-    return texts.join(F.broadcast(ids), "k")
+    return texts.join(F.broadcast(ids), "k").groupBy("k", "label").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", text: str = "text", key: str = "doc_id") -> ByteNet | float:

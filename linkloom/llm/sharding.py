@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import spare
+
 SLOTS = 65537
 SHARDS = tuple(f"shard-{i:04d}" for i in range(64))
 
@@ -64,6 +66,7 @@ def place(df: DataFrame, key: str = "doc_id", names: Sequence[str] = SHARDS, slo
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", names: Sequence[str] = SHARDS, slots: int = SLOTS, split: int = 8) -> None:
-    """Writes one folder a shard, shard=N. A shard is split over several writers by slot, so none holds it whole."""
-    placed = place(df, key, names, slots, "__slot", "shard")
-    placed.repartition(F.col("shard"), F.col("__slot") % split).drop("__slot").write.partitionBy("shard").parquet(path)
+    """Writes one folder a shard, shard=N (shard_=N where df has a column shard). A shard is split over several writers by slot, so none holds it whole."""
+    slot, shard = spare(df.columns, "slot"), spare(df.columns, "shard")
+    placed = place(df, key, names, slots, slot, shard)
+    placed.repartition(F.col(shard), F.col(slot) % split).drop(slot).write.partitionBy(shard).parquet(path)

@@ -10,7 +10,8 @@ collide. Scoring is one narrow pass over whole texts.
 
 Defined results: a null or empty text has no features and gets the models' base rates. Without rows of
 both classes a category's probability is its share in the sample. Repeated rows score alike, null ids
-are ordinary rows (never trained on), and an empty table gives an empty result.
+are ordinary rows (never trained on), and an empty table gives an empty result. An id with conflicting
+labels is never trained on, and of texts that share an id the smallest is. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -158,10 +159,13 @@ def train(rows: list[tuple[np.ndarray, int, int]]) -> Chain:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", per_class: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Chain:
     rows = labels.where(F.col(key).isNotNull() & ~held_out(F.col(key)) & F.col("toxic").isin(0, 1)).select(F.col(key).alias("k"), F.coalesce(1 - F.col("quality"), F.lit(0)).cast("int").alias("junk"), F.col("toxic").cast("int").alias("toxic"))
+    both = F.struct("junk", "toxic")
+    rows = rows.groupBy("k").agg(F.min(both).alias("label"), F.max(both).alias("other")).where("label = other").select("k", "label.*")
     ids = [rows.where(F.col("toxic") == c).orderBy(F.xxhash64("k"), "k").limit(per_class) for c in (0, 1)]
-    ids = ids[0].unionByName(ids[1]).dropDuplicates(["k"])  # at most 2 x per_class ids
+    ids = ids[0].unionByName(ids[1])  # at most 2 x per_class ids
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.length("t") <= chars)
-    sample = texts.join(F.broadcast(ids), "k").select("k", "t", "junk", "toxic").mapInArrow(_sampler, f"k {docs.schema[key].dataType.simpleString()}, junk int, toxic int, f array<bigint>")
+    once = texts.join(F.broadcast(ids), "k").groupBy("k", "junk", "toxic").agg(F.min("t").alias("t"))
+    sample = once.select("k", "t", "junk", "toxic").mapInArrow(_sampler, f"k {docs.schema[key].dataType.simpleString()}, junk int, toxic int, f array<bigint>")
     table = sample.toArrow().combine_chunks()  # bounded: SAMPLE rows a class of SAMPLE_CHARS
     k, junk, toxic = (table.column(c).to_pylist() for c in ("k", "junk", "toxic"))
     lists = [x.values.to_numpy()[p:q].view(np.uint64) for x in table.column("f").chunks for p, q in zip(x.offsets.to_numpy()[:-1].tolist(), x.offsets.to_numpy()[1:].tolist(), strict=True)]
