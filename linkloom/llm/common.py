@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -19,6 +20,10 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 FEW_ROWS, SALTS = 100_000, 32
 
 
+#: Paths of the tables that this process has written and not swept.
+_WRITTEN: list[str] = []
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -39,9 +44,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables materialize() has written so far."""
+    return len(_WRITTEN)
+
+
+def sweep(spark: SparkSession, since: int, keep: int) -> None:
+    """Deletes the tables written after the first `since`, but for the last `keep`: for callers that have written all they read."""
+    for path in _WRITTEN[since : len(_WRITTEN) - keep]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what materialize() wrote for df, or for the one written table that df reads; only once nothing reads it any more."""
     spark = df.sparkSession
@@ -79,6 +98,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy(run: Callable) -> Callable:
+    """A task function that gives its memory back to the system at its end: the Python worker lives on and may idle."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def word_array(text: Column) -> Column:
     """Words of a text as an array; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), "")

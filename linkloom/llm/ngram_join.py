@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import discard, materialize, mix, release, shingle_sets, spare, text_blocks
+from linkloom.llm.common import discard, materialize, mix, release, shingle_sets, spare, text_blocks, tidy
 
 #: Binary logarithm of the buckets of the frequency table: about that of the rows, within these bounds.
 SKETCH_BITS = (17, 21)
@@ -74,7 +74,7 @@ def _counter(k: int, bits: int):
 def frequency_classes(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each hash bucket, twice the binary logarithm of its count over the mean (0 to 255), and whether it is crowded."""
     bits = int(np.clip(docs.count().bit_length() - 1, *SKETCH_BITS))
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(_counter(k, bits), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(tidy(_counter(k, bits)), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     table = rows.toArrow()  # at most 2^21 rows
     counts = np.zeros(1 << bits)
     counts[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
@@ -378,7 +378,7 @@ def _second_round(units: DataFrame) -> DataFrame:
 def _compared(dealt: DataFrame, lists: DataFrame, on: list[str], handle: Callable, names: list[str]) -> DataFrame:
     """Joins the shingles in lists to what was dealt and runs handle task by task."""
     rows = dealt.join(lists, on).repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
-    return rows.mapInArrow(_grouped(handle, names), ", ".join(f"{c} bigint" for c in names))
+    return rows.mapInArrow(tidy(_grouped(handle, names)), ", ".join(f"{c} bigint" for c in names))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -419,14 +419,14 @@ def _classes(docs: DataFrame, k: int, percent: int, text: str, key: str) -> tupl
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     classes, crowded = frequency_classes(docs, text, k)
     form = f"key {kind}, mark bigint, n bigint, node bigint, ell int, prefix array<bigint>, crowded array<bigint>"
-    signed = materialize(source.select("key", F.xxhash64("text").alias("mark"), "text").mapInArrow(_signer(k, percent, classes, crowded), form), "signed")
+    signed = materialize(source.select("key", F.xxhash64("text").alias("mark"), "text").mapInArrow(tidy(_signer(k, percent, classes, crowded)), form), "signed")
     ids = materialize(signed.select("key", "mark", "n", "node"), "ids")
     named = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("rep"), F.max("n").alias("n"), F.max("ell").alias("ell"))
     named = materialize(named, "classes")
 
     valid = signed.where("key IS NOT NULL")
     rare = valid.select(F.explode("prefix").alias("token"), "node").repartition("token").sortWithinPartitions("token", "node")
-    rare = rare.mapInArrow(_sharers, "token bigint, unit bigint, node bigint")
+    rare = rare.mapInArrow(tidy(_sharers), "token bigint, unit bigint, node bigint")
     hot = valid.select(F.explode("crowded").alias("token"), "node").distinct()
     homes = hot.groupBy("token").agg(F.min("node").alias("unit"), F.max("node").alias("far")).where("unit <> far").drop("far")
     shared = materialize(rare.unionByName(hot.join(homes, "token").select("token", "unit", "node")), "shared")
@@ -446,7 +446,7 @@ def _classes(docs: DataFrame, k: int, percent: int, text: str, key: str) -> tupl
     def sets(alive: DataFrame) -> DataFrame:
         bitmap, bits = _wanted(alive, named)
         bit = F.pmod(F.xxhash64("key"), F.lit(1 << bits)).alias("bit")
-        return source.where("key IS NOT NULL").select("text", bit, "key").mapInArrow(_setter(k, bitmap), f"rep {kind}, node bigint, tokens array<bigint>")
+        return source.where("key IS NOT NULL").select("text", bit, "key").mapInArrow(tidy(_setter(k, bitmap)), f"rep {kind}, node bigint, tokens array<bigint>")
 
     dealt, more = _first_round(sized(alive).drop("rep"))
     dealt = dealt.join(named.select("node", "rep"), "node")

@@ -31,13 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import BYTE_CODES, LOWER_BYTES, mix, powers, text_blocks
+from linkloom.llm.common import BYTE_CODES, LOWER_BYTES, mix, powers, text_blocks, tidy
 
 CAPACITY, END = 2048, 1
 SENTENCE_PENALTY, INSIDE_PENALTY = 4, 48
 BLOCK_TOKENS = 1 << 20
 READ_BYTES = 1 << 21
-CACHE_UNITS, LONGEST_UNIT = 1_000_000, 64
+CACHE_UNITS, LONGEST_UNIT = 500_000, 64
 #: What a byte is to the cutting of units: between words, a letter, a digit, anything else, or unfit for it.
 _BETWEEN, _LETTER, _DIGIT, _OTHER, _UNFIT = range(5)
 _KIND = np.full(256, _UNFIT, np.uint8)
@@ -406,5 +406,5 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
     """One row a piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds the ids."""
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, {SCHEMA}" + ", ids array<int>" * with_ids
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_packer(path or tokenizer_path(), capacity, with_ids), schema)
+    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(_packer(path or tokenizer_path(), capacity, with_ids)), schema)
     return out.withColumnRenamed("key", key) if key != "key" else out

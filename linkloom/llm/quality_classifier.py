@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import text_blocks
+from linkloom.llm.common import text_blocks, tidy
 
 SAMPLE, SAMPLE_CHARS = 600, 30_000
 WIDTH, STRIDE, SEGMENT = 6, 2, 512
@@ -166,7 +166,7 @@ def scorer(model: ByteNet | float):
 def score(docs: DataFrame, model: ByteNet | float, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, held_out, score, predicted for every row."""
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(scorer(model), f"key {kind}, score double")
+    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(scorer(model)), f"key {kind}, score double")
     return out.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= ACCEPT_AT).cast("int").alias("predicted"))
 
 
@@ -184,4 +184,4 @@ def keep_accepted(docs: DataFrame, model: ByteNet | float, text: str = "text") -
                     keep += [model.probability(data[x:y]) >= ACCEPT_AT for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
