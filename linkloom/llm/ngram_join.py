@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import discard, materialize, mix, release, shingle_sets, spare, text_blocks, tidy
+from linkloom.llm.common import discard, join_hot, materialize, mix, release, shingle_sets, spare, text_blocks, tidy
 
 #: Binary logarithm of the buckets of the frequency table: about that of the rows, within these bounds.
 SKETCH_BITS = (17, 21)
@@ -476,11 +476,11 @@ def _classes(docs: DataFrame, k: int, percent: int, text: str, key: str) -> tupl
         discard(done)
 
     roots = roots.withColumnRenamed("v", "node")
-    smallest = roots.join(named, "node").groupBy("root").agg(F.min("rep").alias("component"))
-    final = named.join(roots, "node", "left").join(smallest, "root", "left").select("node", F.coalesce("component", "rep").alias("component"))
-    final = materialize(final, "components")
-    discard(named)
-    discard(roots)
+    smallest = materialize(roots.join(named, "node").groupBy("root").agg(F.min("rep").alias("component")), "smallest")
+    rooted = join_hot(named.join(roots, "node", "left"), smallest, lambda left, right: F.col(f"{left}.root") == F.col(f"{right}.root"), "left")
+    final = materialize(rooted.select("l.node", F.coalesce("r.component", "l.rep").alias("component")), "components")
+    for done in (named, roots, smallest):
+        discard(done)
     return ids, final
 
 
