@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns a DataFrame; all
 but the last return the columns of documents. run() writes each stage's result as Parquet in the shared
 folder and reads it again for the next.
+
+Defined results: a null or empty text is rejected by the rules at the latest; without labels the classifier
+accepts all rows; rows with a null id pass the stages like others and are never linked; rows that repeat id
+and text count as one from the third stage on; an empty table gives an empty result. Columns besides
+doc_id, text and source are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm import mixing, ngram_join, packing, quality_classifier, quality_rules
-from linkloom.llm.common import materialize, read
+from linkloom.llm.common import materialize, read, sweep, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages' result. What a stage read and wrote besides its result is deleted once that is written."""
     docs = read(spark, sf_dir, "documents")
+    start = written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        sweep(spark, start, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
