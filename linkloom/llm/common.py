@@ -18,6 +18,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 #: Rows of a few columns that may be broadcast, and parts a hot key is dealt into beyond them.
 FEW_ROWS, SALTS = 100_000, 32
+#: Rows of a few columns that the driver may hold.
+HELD_ROWS = 10_000
 
 
 #: Paths of the tables that this process has written and not swept.
@@ -78,8 +80,14 @@ def spare(columns: Sequence[str], name: str) -> str:
     return name
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df computed once: held by the driver if it has at most HELD_ROWS rows, else written; both cut lineage."""
+    rows = df.limit(HELD_ROWS + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= HELD_ROWS else materialize(df, name)
+
+
 def join_hot(left: DataFrame, right: DataFrame, on: Callable[[str, str], Column], how: str = "inner") -> DataFrame:
-    """Joins left (alias l), any of whose keys may be hot, with the written table right (alias r), one row a key.
+    """Joins left (alias l), any of whose keys may be hot, with right (alias r, settled or written), one row a key.
 
     Right is broadcast if it has at most FEW_ROWS rows, counted; else every right row is repeated SALTS
     times and left is dealt over the copies by row number.

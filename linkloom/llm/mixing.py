@@ -9,7 +9,8 @@ often as fits and once more below a threshold.
 Defined results: a null or empty text has size 0 and is never counted; a null source is a source of its
 own, ranked last; a null id hashes as an empty one. Repeated rows share a hash and are taken together.
 An empty table gives an empty result. Other columns of the input play no part, whatever their names.
-Tables with a row a source are broadcast once counted; a source that holds most rows stays spread.
+Tables with a row a source are held by the driver and broadcast if they are few, counted, else written and
+joined over salted copies; a source that holds most rows stays spread either way.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import discard, join_hot, materialize, spare, word_count
+from linkloom.llm.common import discard, join_hot, materialize, settled, spare, word_count
 
 BITS, LEVELS = 12, 5
 MAX_EPOCHS = 3
@@ -53,10 +54,10 @@ def _same_source(left: str, right: str) -> Column:
 
 
 def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
-    """A written table, per source: __q whole epochs and __below, the last hash value of one epoch more (null: none)."""
+    """Per source: __q whole epochs and __below, the last hash value of one epoch more (null: none)."""
     q = F.when(F.col("__size") > 0, F.floor(F.col("__target") / F.col("__size"))).otherwise(0).cast("long")
     goals = goals.withColumn("__q", q).withColumn("__b", F.col("__target") - F.col("__q") * F.col("__size"))
-    goals = materialize(goals, "mixing-goals")
+    goals = settled(goals, "mixing-goals")
     zero = F.lit(0).cast("long")
     edge = goals.select("__s", "__b", zero.alias("__at"), zero.alias("__cum"))
     for level in range(1, LEVELS + 1):
@@ -65,18 +66,12 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
         hist = inside.groupBy("r.__s", F.shiftright("l.__h", here).alias("__k")).agg(F.sum("l.__n").alias("__n"), F.first("r.__b").alias("__b"), F.first("r.__cum").alias("__cum"))
         hist = hist.withColumn("__to", F.col("__cum") + F.sum("__n").over(Window.partitionBy("__s").orderBy("__k")))
         past = hist.where(F.col("__to") > F.col("__b")).groupBy("__s").agg(F.min_by(F.struct("__k", "__to", "__n", "__b"), "__k").alias("e"))
-        before = edge if level > 1 else None
-        edge = materialize(past.select("__s", F.col("e.__b").alias("__b"), F.col("e.__k").alias("__at"), (F.col("e.__to") - F.col("e.__n")).alias("__cum"), F.col("e.__n").alias("__last")), "mixing-edge")
-        if before is not None:
-            discard(before)
+        edge = settled(past.select("__s", F.col("e.__b").alias("__b"), F.col("e.__k").alias("__at"), (F.col("e.__to") - F.col("e.__n")).alias("__cum"), F.col("e.__n").alias("__last")), "mixing-edge")
     # The boundary value itself is taken where that comes nearer to the budget.
     nearer = 2 * (F.col("__b") - F.col("__cum")) > F.col("__last")
     last = edge.select("__s", F.when(nearer, F.col("__at")).otherwise(F.col("__at") - 1).alias("__below"))
     plan = goals.alias("g").join(last.alias("e"), F.expr("g.__s <=> e.__s"), "left").select("g.__s", "g.__size", "g.__target", "g.__q", "e.__below")
-    plan = materialize(plan, "mixing-plan")
-    discard(goals)
-    discard(edge)
-    return plan
+    return settled(plan, "mixing-plan")
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:

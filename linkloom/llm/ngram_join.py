@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import discard, join_hot, materialize, mix, release, shingle_sets, spare, text_blocks, tidy
+from linkloom.llm.common import discard, join_hot, materialize, mix, release, settled, shingle_sets, spare, text_blocks, tidy
 
 #: Binary logarithm of the buckets of the frequency table: about that of the rows, within these bounds.
 SKETCH_BITS = (17, 21)
@@ -350,10 +350,9 @@ def _first_round(units: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     units: unit, node, n, ell, w. Every block of a heavy unit holds the unit's smallest set.
     """
     heavy = units.groupBy("unit").agg(F.sum("w").alias("total"), F.min("node").alias("leader")).where(F.col("total") > BLOCK)
-    heavy = materialize(heavy.select("unit", "leader", _blocks(F.col("total")).alias("blocks")), "heavy")
+    heavy = settled(heavy.select("unit", "leader", _blocks(F.col("total")).alias("blocks")), "heavy")
     zero = F.lit(0).alias("i")
     if heavy.isEmpty():
-        discard(heavy)
         return units.select("unit", zero, zero.alias("j"), "node", F.col("node").alias("label"), "n", "ell"), None
     place = F.when(F.isnull("blocks"), F.array(F.lit(0))).when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_own("blocks")))
     rows = units.join(heavy, "unit", "left").withColumn("i", F.explode(place))
@@ -468,9 +467,6 @@ def _classes(docs: DataFrame, k: int, percent: int, text: str, key: str) -> tupl
         roots = components(edges.union(late))
         discard(late)
         discard(alive)
-        for h in (heavy, more):
-            if h is not None:
-                discard(h)
         release(spark)
     for done in (shared, lists, edges):
         discard(done)
