@@ -82,8 +82,8 @@ def spare(columns: Sequence[str], name: str) -> str:
 
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df computed once: held by the driver if it has at most HELD_ROWS rows, else written; both cut lineage."""
-    rows = df.limit(HELD_ROWS + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= HELD_ROWS else materialize(df, name)
+    rows = df.limit(HELD_ROWS + 1).toArrow()
+    return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= HELD_ROWS else materialize(df, name)
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: Callable[[str, str], Column], how: str = "inner") -> DataFrame:

@@ -35,9 +35,11 @@ from linkloom.llm.common import BYTE_CODES, LOWER_BYTES, mix, powers, text_block
 
 CAPACITY, END = 2048, 1
 SENTENCE_PENALTY, INSIDE_PENALTY = 4, 48
-BLOCK_TOKENS = 1 << 20
-READ_BYTES = 1 << 21
-CACHE_UNITS, LONGEST_UNIT = 500_000, 64
+BLOCK_TOKENS = 1 << 19
+READ_BYTES = 1 << 19
+CACHE_UNITS, SMALL_PART, LONGEST_UNIT = 1_000_000, 60_000, 64
+#: Units of up to so many bytes are merged together.
+WIDTHS = (3, 6, 9, 12, 18, 32)
 #: What a byte is to the cutting of units: between words, a letter, a digit, anything else, or unfit for it.
 _BETWEEN, _LETTER, _DIGIT, _OTHER, _UNFIT = range(5)
 _KIND = np.full(256, _UNFIT, np.uint8)
@@ -93,8 +95,38 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        """Empties the table of known units: their sorted hashes, and of each the place and number of its ids."""
-        self.known, self.at, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        """Empties the table of known units: a large and a small part, each of sorted hashes with the place and number of their ids."""
+        nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.parts = [nothing, nothing]
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of units; number -1 where a unit is not known."""
+        at, count = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1)
+        for known, places, counts in self.parts:
+            if len(known):
+                where = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[where] == hashes
+                at[hit], count[hit] = places[where[hit]], counts[where[hit]]
+        return at, count
+
+    def _keep(self, hashes: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """Adds units to the small part of the table, which goes into the large one as it grows."""
+        at = self.used + np.cumsum(count) - count
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), 2 * len(ids)), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        new = (hashes, at, count)
+        for level in (1, 0):
+            new = tuple(np.concatenate(x) for x in zip(self.parts[level], new, strict=True))
+            by = np.argsort(new[0])
+            new = tuple(x[by] for x in new)
+            if level == 1 and len(by) < SMALL_PART:
+                self.parts[1] = new
+                return
+        empty = tuple(x[:0] for x in new)
+        self.parts = [new, empty]
 
     @staticmethod
     def _byte_names() -> list[str]:
@@ -127,15 +159,17 @@ class WordEncoder:
                 break
         return out
 
-    def merge(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of units given as rows of bytes of one length, and their numbers: the best-ranked pair goes next, leftmost first."""
+    def merge(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units given as rows of bytes, of which each has its size, and their numbers: the best-ranked pair goes next, leftmost first."""
         n, length = data.shape
+        every = np.arange(n)
         ids = self.first[data]
-        ids[:, -1] = self.last[data[:, -1]]
-        size = np.full(n, length)
+        ids[every, size - 1] = self.last[data[every, size - 1]]
+        size = size.copy()
         if length > 1:
             ranks = self._rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, -1)
-            live = np.arange(n)
+            ranks[np.arange(length - 1)[None, :] >= (size - 1)[:, None]] = 1 << 30
+            live = np.flatnonzero(size > 1)
             while len(live):
                 r = ranks[live]
                 at = r.argmin(1)
@@ -160,16 +194,25 @@ class WordEncoder:
                 ranks[live] = rr
         return ids, size
 
+    def _by_width(self, lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Which units go through merging together, and in rows of how many bytes."""
+        low = 0
+        for width in (*WIDTHS, max(int(lengths.max(initial=0)), WIDTHS[-1])):
+            which = np.flatnonzero((lengths > low) & (lengths <= width))
+            low = width
+            if len(which):
+                yield width, which
+
     def merge_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each unit, as bytes."""
         out = [b""] * len(words)
-        lengths = np.array([len(w) for w in words])
-        for length in np.unique(lengths).tolist():
-            which = np.flatnonzero(lengths == length)
-            ids, size = self.merge(np.frombuffer(b"".join([words[i] for i in which.tolist()]), np.uint8).reshape(-1, length))
+        lengths = np.array([len(w) for w in words], np.int64)
+        for width, which in self._by_width(lengths):
+            rows = np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in which.tolist()]), np.uint8).reshape(-1, width)
+            ids, size = self.merge(rows, lengths[which])
             flat = ids.astype(np.uint32).tobytes()
             for k, (i, n) in enumerate(zip(which.tolist(), size.tolist(), strict=True)):
-                out[i] = flat[4 * k * length : 4 * (k * length + n)]
+                out[i] = flat[4 * k * width : 4 * (k * width + n)]
         return out
 
     def _is_plain(self, word: str) -> bool:
@@ -202,10 +245,10 @@ class WordEncoder:
     def _learn(self, data: np.ndarray, hashes: np.ndarray, begins: np.ndarray, lengths: np.ndarray, whole: np.ndarray) -> None:
         """Adds units to the table: their hashes, places in data, lengths, and whether they are uncut words."""
         new_ids, counts, order = [], [], []
-        for length in np.unique(lengths[~whole]).tolist():
-            which = np.flatnonzero(~whole & (lengths == length))
-            ids, size = self.merge(LOWER_BYTES[data[begins[which][:, None] + np.arange(length)]])
-            new_ids.append(ids[np.arange(length) < size[:, None]].astype(np.uint32))
+        for width, which in self._by_width(np.where(whole, 0, lengths)):
+            places = np.minimum(begins[which][:, None] + np.arange(width), len(data) - 1)
+            ids, size = self.merge(LOWER_BYTES[data[places]], lengths[which])
+            new_ids.append(ids[np.arange(width) < size[:, None]].astype(np.uint32))
             counts.append(size)
             order.append(which)
         which = np.flatnonzero(whole)
@@ -215,16 +258,11 @@ class WordEncoder:
             new_ids.append(np.frombuffer(b"".join(made), np.uint32))
             counts.append(np.array([len(m) // 4 for m in made], np.int64))
             order.append(which)
-        count = np.concatenate(counts)
-        at = len(self.ids) + np.cumsum(count) - count
-        every = np.concatenate([self.known, hashes[np.concatenate(order)]])
-        by = np.argsort(every)
-        self.known, self.at, self.count = every[by], np.concatenate([self.at, at])[by], np.concatenate([self.count, count])[by]
-        self.ids = np.concatenate([self.ids, *new_ids])
+        self._keep(hashes[np.concatenate(order)], np.concatenate(counts), np.concatenate(new_ids))
 
     def encode_block(self, data: np.ndarray, offsets: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block, one after the other, and the number of each; end closes every text."""
-        if len(self.known) > CACHE_UNITS:
+        if sum(len(p[0]) for p in self.parts) > CACHE_UNITS:
             self._forget()
         texts = len(offsets) - 1
         kind = _KIND[data]
@@ -251,16 +289,15 @@ class WordEncoder:
                 codes = BYTE_CODES[np.where(uncut[at], kept, LOWER_BYTES[kept])] * powers(int(size.max()))[place]
                 hashes = mix(np.add.reduceat(codes, head))
             unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-            where = np.searchsorted(self.known, unique)
-            fresh = self.known[np.minimum(where, len(self.known) - 1)] != unique if len(self.known) else np.ones(len(unique), bool)
+            where, count = self._find(unique)
+            fresh = count < 0
             if fresh.any():
                 f = first[fresh]
                 self._learn(data, unique[fresh], at[head[f]], size[f], uncut[at[head[f]]])
-                where = np.searchsorted(self.known, unique)
-            where = where[back]
-            count = self.count[where]
+                where, count = self._find(unique)
+            where, count = where[back], count[back]
             upto = np.cumsum(count)
-            flat = self.ids[np.repeat(self.at[where] - (upto - count), count) + np.arange(upto[-1])]
+            flat = self.ids[np.repeat(where - (upto - count), count) + np.arange(upto[-1])]
             ends = np.concatenate([[0], upto])[np.searchsorted(at[head], offsets)]
         else:
             flat, ends = np.zeros(0, np.uint32), np.zeros(texts + 1, np.int64)
