@@ -7,21 +7,30 @@ from pyspark.sql import functions as F
 
 #: Stop words by language.
 STOP_WORDS = {
-    "en": ("the", "and", "is", "in", "to", "of", "was", "for", "on", "with"),
-    "es": ("el", "la", "de", "que", "y", "en", "los", "del", "por", "con"),
-    "fr": ("le", "la", "de", "et", "les", "des", "est", "dans", "pour", "une"),
-    "de": ("der", "die", "und", "das", "ist", "von", "mit", "den", "ein", "nicht"),
+    "en": ("the", "and", "is", "of", "to", "in", "was", "were", "on", "at", "a", "an", "he", "she", "they"),
+    "es": ("el", "la", "de", "y", "es", "en", "un", "una", "que", "fue", "los", "las"),
+    "fr": ("le", "la", "de", "et", "est", "en", "un", "une", "que", "des", "les"),
+    "hi": ("aur", "hai", "ka", "ki", "ke", "mein", "ko", "se", "ek"),
 }
-#: Modality ladder, strongest first.
+#: Words with a translation into English.
+DICTIONARY = {"es": {"hola": "hello", "reunión": "meeting", "dinero": "money"}, "fr": {"bonjour": "hello", "réunion": "meeting", "argent": "money"}}
+#: Modality by its cues, the first that holds.
 MODALITY = (
-    ("DENIED", r"\b(denied|denies|refuted|rejected)\b"),
-    ("ALLEGED", r"\b(alleged|allegedly|accused|claimed)\b"),
-    ("REPORTED", r"\b(reported|reportedly|according to|stated)\b"),
-    ("SUSPECTED", r"\b(suspected|suspects|believed)\b"),
-    ("UNCERTAIN", r"\b(may|might|could|possibly|perhaps|unconfirmed)\b"),
+    ("DENIED", r"\b(denied|denies|denial|refuted|refutes)\b"),
+    ("ALLEGED", r"\b(alleged|alleges|allegation)\b"),
+    ("REPORTED", r"\b(according to|as per|based on|stated by|reported by|told by|said by)\b"),
+    ("REPORTED", r"\b(witness|source|informant|official|document|record)\s+(stated|said|reported|claimed|alleged)\b"),
+    ("SUSPECTED", r"\b(suspected|suspicion|hypothesis|speculation)\b"),
+    ("UNCERTAIN", r"\b(may|might|could|possibly|potentially|apparently|allegedly|reportedly|supposedly|purportedly)\b"),
+    ("UNCERTAIN", r"\b(likely|unlikely|probable|improbable|plausible|implausible)\b"),
+    ("UNCERTAIN", r"\b(suspected|suspicion|hypothesis|speculation|conjecture)\b"),
+    ("UNCERTAIN", r"\b(uncertain|unclear|unknown|ambiguous|vague|inconclusive)\b"),
+    ("UNCERTAIN", r"\b(believed|believed to be|thought to be|understood to be)\b"),
 )
-#: Fixed value: cues of negation.
-NEGATION = r"\b(not|no|never|neither|without|denied)\b"
+#: Cues of negation.
+NEGATION = r"\b(not|never|no|none|nothing|nowhere|neither|nor|didn't|doesn't|don't|did not|does not|do not|was not|were not|is not|are not|wasn't|weren't|isn't|aren't|denied|denies|denial|refuted|refutes|refutation|contradicted|contradicts|contradiction|lacked|lacks|lack of|absence of|no evidence of|no indication of|no sign of|without|free from|clear of)\b"
+#: Characters after a cue that it may reach, unless a clause ends before.
+NEGATION_REACH = 90
 
 
 def fingerprint(text: Column) -> Column:
@@ -36,19 +45,37 @@ def tokens(text: Column) -> Column:
 
 
 def language(text: Column) -> tuple[Column, Column]:
-    """(language, confidence) by share of stop words among tokens; en at 0.4 without any."""
-    words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
-    n = F.greatest(F.size(words), F.lit(1))
-
-    def held(stop: tuple[str, ...]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*stop)))
-
-    hits = {k: held(v) for k, v in STOP_WORDS.items()}
-    best = F.greatest(*hits.values())
+    """(language, confidence): the list of stop words of which the text holds the largest share; en at 0.4 without any, unknown without letters."""
+    held = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), lambda w: w != ""))
+    shares = {k: F.size(F.array_intersect(held, F.array(*map(F.lit, v)))) / float(len(v)) for k, v in STOP_WORDS.items()}
+    best = F.greatest(*shares.values())
     name = F.lit("en")
     for k in reversed(list(STOP_WORDS)):
-        name = F.when((hits[k] == best) & (best > 0), k).otherwise(name)
-    return name, F.when(best > 0, F.round(F.least(0.4 + best / n, F.lit(0.95)), 6)).otherwise(0.4)
+        name = F.when((shares[k] == best) & (best > 0), k).otherwise(name)
+    sure = F.when(best > 0, F.round(F.least(0.4 + best, F.lit(0.95)), 2)).otherwise(0.4)
+    return F.when(F.size(held) == 0, "unknown").otherwise(name), F.when(F.size(held) == 0, 0.0).otherwise(sure)
+
+
+def translate(text: Column, source: Column) -> Column:
+    """Words with an entry in the dictionary of the source language in English, all others as they are."""
+    out = text
+    for lang, table in DICTIONARY.items():
+        done = text
+        for word, english in table.items():
+            done = F.regexp_replace(done, rf"(?iu)(?<![\p{{L}}]){word}(?![\p{{L}}])", english)
+        out = F.when(source == lang, done).otherwise(out)
+    return out
+
+
+def clean(text: Column) -> Column:
+    """No control characters, web addresses as [URL], single marks and spaces. Compatibility forms (ligatures, full width) are folded for U+FF01 to U+FF5E and common ligatures."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000\xa0"
+    t = F.translate(F.coalesce(text, F.lit("")), wide, "".join(chr(c) for c in range(0x21, 0x7F)) + "  ")
+    for ligature, letters in (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\u2026", "...")):
+        t = F.replace(t, F.lit(ligature), F.lit(letters))
+    t = F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    t = F.regexp_replace(t, r"https?://\S+|www\.\S+", "[URL]")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"([!?.,])\1+", "$1"), r"\s+", " "))
 
 
 def modality(text: Column) -> Column:
@@ -62,6 +89,99 @@ def negated(text: Column) -> Column:
     return F.lower(text).rlike(NEGATION)
 
 
+def negation_scope(text: Column) -> Column:
+    """What follows the first cue of negation up to the end of its clause, the separator included; null without a cue."""
+    cue = F.regexp_extract(text, f"(?i){NEGATION}", 0)
+    after = F.substr(text, F.instr(text, cue) + F.length(cue), F.lit(NEGATION_REACH))
+    scope = F.regexp_extract(after, r"(?s)^(.*?(?:[,;.!?]| and | but | or |$))", 1)
+    return F.when(cue != "", scope)
+
+
+def sentences(text: Column) -> Column:
+    """Sentences: cut at white space between . ! or ? and a capital letter."""
+    return F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"(?<=[.!?])\s+(?=[A-Z])"), lambda x: x != "")
+
+
+#: How much a word behind an amount stands for, and what stands for a currency.
+MULTIPLIERS = {"k": 1e3, "m": 1e6, "cr": 1e7, "crore": 1e7, "crores": 1e7, "lakh": 1e5, "lakhs": 1e5, "lac": 1e5}
+CURRENCY_SIGNS = {"₹": "INR", "$": "USD", "€": "EUR", "£": "GBP"}
+CURRENCY_WORDS = {"INR": "rupees|rupee|inr", "USD": "dollars|dollar|usd", "EUR": "euros|euro|eur", "GBP": "pounds|pound|gbp"}
+_AMOUNT = r"(?i)(?<![\w-])(?:₹|\$|€|£|rs\.?|inr|usd|eur|gbp)?\s*(\d{1,3}(?:,\d{3})+|\d+(?:\.\d+)?)\s*(k|m|cr|crore|crores|lakh|lakhs|lac)?(?![\w-])"
+
+
+def amount(text: Column) -> Column:
+    """The first amount with its multiplier; null without one. Parts of dates and of longer words are none."""
+    number, unit = F.regexp_extract(text, _AMOUNT, 1), F.lower(F.regexp_extract(text, _AMOUNT, 2))
+    times = F.lit(1.0)
+    for word, n in MULTIPLIERS.items():
+        times = F.when(unit == word, n).otherwise(times)
+    return F.round(F.when(number != "", F.regexp_replace(number, ",", "").cast("double") * times), 2)
+
+
+def currency(text: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for code, names in reversed(CURRENCY_WORDS.items()):
+        out = F.when(F.lower(text).rlike(rf"\b({names})\b"), code).otherwise(out)
+    for sign, code in reversed(CURRENCY_SIGNS.items()):
+        out = F.when(F.contains(text, F.lit(sign)), code).otherwise(out)
+    return out
+
+
+def channel(text: Column) -> Column:
+    found = F.regexp_extract(text, r"(?i)\b(?:via|using|through|over|in)\s+(?:an?\s+|the\s+)?(bank\s+transfer|wire\s+transfer|wire|cash|crypto(?:currency)?|bitcoin|mobile\s+wallet|upi|hawala)\b", 1)
+    return F.nullif(F.lower(found), F.lit(""))
+
+
+def duration_seconds(text: Column) -> Column:
+    p = r"(?i)\b(?:for|lasting)\s+(\d+(?:\.\d+)?)\s*(seconds?|secs?|minutes?|mins?|hours?|hrs?)\b"
+    n, unit = F.regexp_extract(text, p, 1), F.lower(F.regexp_extract(text, p, 2))
+    size = F.when(unit.startswith("sec"), 1).when(unit.startswith("min"), 60).otherwise(3600)
+    return F.when(n != "", F.floor(F.nullif(n, F.lit("")).cast("double") * size).cast("long"))
+
+
+def timestamp_text(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(text, r"\b\d{4}-\d{2}-\d{2}(?:[T\s]\d{2}:\d{2}(?::\d{2})?Z?)?\b|\b\d{1,2}:\d{2}(?::\d{2})?\b", 0), F.lit(""))
+
+
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
+def temporal(text: Column, anchor: Column) -> Column:
+    """A struct of iso, is_relative, delta_minutes and confidence of the time a text names, against an anchor timestamp.
+
+    Absolute dates in four forms (0.95, with a time of day where there is one), then relative ones (0.8), then
+    times of the anchor's day (0.9); else null at 0.3. Months count 30 days and years 365.
+    """
+    names = "|".join(_MONTHS)
+    t = F.lower(text)
+    ex = lambda p, g: F.regexp_extract(t, p, g)
+    num = lambda c: F.nullif(c, F.lit("")).cast("int")
+    month = lambda c: F.array_position(F.array(*map(F.lit, _MONTHS)), F.substring(c, 1, 3)).cast("int")
+    iso = r"\b(\d{4})-(\d{2})-(\d{2})\b"
+    dmy = r"\b(\d{1,2})[-/](\d{1,2})[-/](\d{4})\b"
+    dmon = rf"\b(\d{{1,2}})\s+((?:{names})[a-z]*)\s+(\d{{4}})\b"
+    mond = rf"\b((?:{names})[a-z]*)\s+(\d{{1,2}}),?\s+(\d{{4}})\b"
+    form = lambda y, m, d: F.format_string("%04d-%02d-%02d", y, m, d)
+    date = F.when(t.rlike(iso), form(num(ex(iso, 1)), num(ex(iso, 2)), num(ex(iso, 3)))).when(t.rlike(dmy), form(num(ex(dmy, 3)), num(ex(dmy, 2)), num(ex(dmy, 1))))
+    date = date.when(t.rlike(dmon), form(num(ex(dmon, 3)), month(ex(dmon, 2)), num(ex(dmon, 1)))).when(t.rlike(mond), form(num(ex(mond, 3)), month(ex(mond, 1)), num(ex(mond, 2))))
+    clock, bare = r"\b(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(am|pm)?\b", r"\b(\d{1,2})\s*(am|pm)\b"
+    hour = F.when(t.rlike(clock), num(ex(clock, 1))).otherwise(num(ex(bare, 1)))
+    half = F.when(t.rlike(clock), ex(clock, 4)).otherwise(ex(bare, 2))
+    hour = F.when((half == "pm") & (hour != 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
+    time = F.when(t.rlike(clock) | t.rlike(bare), F.format_string("%02d:%02d:%02d", hour, F.coalesce(num(ex(clock, 2)), F.lit(0)), F.coalesce(num(ex(clock, 3)), F.lit(0))))
+    ago, ahead = r"\b(\d+)\s+(day|week|month|year)s?\s+ago\b", r"\bin\s+(\d+)\s+(day|week|month|year)s?\b"
+    size = lambda u: F.when(u == "week", 7).when(u == "month", 30).when(u == "year", 365).otherwise(1)
+    days = F.when(t.rlike(r"\bday before yesterday\b"), -2).when(t.rlike(r"\bday after tomorrow\b"), 2).when(t.rlike(r"\byesterday\b"), -1).when(t.rlike(r"\btomorrow\b"), 1).when(t.rlike(r"\btoday\b"), 0).when(t.rlike(r"\blast night\b"), -1)
+    for word, n in (("week", 7), ("month", 30), ("year", 365)):
+        days = days.when(t.rlike(rf"\blast {word}\b"), -n).when(t.rlike(rf"\bnext {word}\b"), n)
+    days = days.when(t.rlike(ago), -num(ex(ago, 1)) * size(ex(ago, 2))).when(t.rlike(ahead), num(ex(ahead, 1)) * size(ex(ahead, 2)))
+    days = days.when(t.rlike(r"\bthe previous day\b"), -1).when(t.rlike(r"\bthe (following|next) day\b"), 1)
+    relative = F.date_format(F.date_add(F.to_date(anchor), F.coalesce(days, F.lit(0))), "yyyy-MM-dd")
+    value = F.when(date.isNotNull(), F.concat(date, F.coalesce(F.concat(F.lit("T"), time), F.lit("")))).when(days.isNotNull(), relative).when(time.isNotNull(), F.concat(F.date_format(anchor, "yyyy-MM-dd"), F.lit("T"), time))
+    sure = F.when(date.isNotNull(), 0.95).when(days.isNotNull(), 0.8).when(time.isNotNull(), 0.9).otherwise(0.3)
+    return F.struct(value.alias("iso"), (date.isNull() & (days.isNotNull() | time.isNull())).alias("is_relative"), F.when(date.isNull() & days.isNotNull(), (days * 1440).cast("double")).otherwise(0.0).alias("delta_minutes"), sure.alias("confidence"))
+
+
 def phone(raw: Column) -> Column:
     """Ten digits: non-digits dropped, then a leading 91 or 0; null if ten digits aren't left."""
     d = F.regexp_replace(raw, "[^0-9]", "")

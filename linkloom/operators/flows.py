@@ -44,7 +44,7 @@ def pass_through(totals: DataFrame, share: float = 0.9) -> DataFrame:
     return out.select("account", "volume", F.round(F.least(F.lit(1.0), F.col("volume") / F.greatest(2 * F.col("cutoff"), F.lit(1.0))), 6).alias("confidence"))
 
 
-def smurfing(tx: DataFrame, threshold: float = 20000, days: int = 30, least: int = 3) -> DataFrame:
+def smurfing(tx: DataFrame, threshold: float = 50000, days: int = 1, least: int = 3) -> DataFrame:
     """First window [t, t + days] of a destination with enough sub-threshold transfers summing over 3 thresholds."""
     rows = tx.where(F.col("amount") < threshold)
     w = in_forward_range("dst", "ts", 86400 * days)
@@ -54,7 +54,7 @@ def smurfing(tx: DataFrame, threshold: float = 20000, days: int = 30, least: int
     return first.select("dst", F.col("f.ts").alias("window_start"), F.col("f.n").alias("n"), total.alias("total_amount"), F.when(F.col("f.total") > 5 * threshold, "HIGH").otherwise("MEDIUM").alias("severity"), F.round(F.least(F.lit(1.0), total / (3 * threshold)), 6).alias("confidence"))
 
 
-def layering(tx: DataFrame, days: int = 60, least: int = 5) -> DataFrame:
+def layering(tx: DataFrame, days: int = 7, least: int = 5) -> DataFrame:
     """First window of an account with enough inflows and outflows; retention = out / max(in, 1)."""
     ends = tx.select(F.col("src").alias("account"), "ts", "amount", F.lit(1).alias("o")).unionByName(tx.select(F.col("dst").alias("account"), "ts", "amount", F.lit(0).alias("o")))
     w = in_forward_range("account", "ts", 86400 * days)
@@ -66,14 +66,14 @@ def layering(tx: DataFrame, days: int = 60, least: int = 5) -> DataFrame:
     return out.withColumns({"severity": F.when(F.col("retention") < 0.05, "HIGH").when(F.col("retention") < 0.2, "MEDIUM").otherwise("LOW"), "confidence": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 5 * F.col("retention"))), 6)})
 
 
-def busy_accounts(tx: DataFrame, factor: float = 1.2, floor: float = 10) -> DataFrame:
+def busy_accounts(tx: DataFrame, factor: float = 3, floor: float = 10) -> DataFrame:
     """Accounts with more transfers than max(factor * median, floor)."""
     n = tx.select(F.explode(F.array("src", "dst")).alias("account")).groupBy("account").count()
     cut = n.agg(F.greatest(factor * F.median("count"), F.lit(float(floor))).alias("cut"))
     return n.join(F.broadcast(cut)).where("count > cut").select("account", F.col("count").alias("n"), F.col("cut").alias("threshold"))
 
 
-def row_window_bursts(tx: DataFrame, rows: int = 7, least: int = 5, factor: float = 1.05) -> DataFrame:
+def row_window_bursts(tx: DataFrame, rows: int = 7, least: int = 5, factor: float = 3) -> DataFrame:
     """Counts over the next observed dates (rows, not days) that exceed factor times a window's average."""
     daily = tx.where("ts IS NOT NULL").groupBy(F.to_date("ts").alias("day")).count()
     mean = daily.agg((F.sum("count") / F.count(F.lit(1))).alias("mean"))
@@ -88,3 +88,20 @@ def gang_report(members: DataFrame, tx: DataFrame) -> DataFrame:
     out = touched.groupBy("gang").agg(F.count(F.lit(1)).alias("n"), money(F.sum("amount")).alias("total_amount"))
     risk = F.round(0.02 * F.col("n") + F.col("total_amount") / 100000, 4)
     return out.withColumn("risk", risk).withColumn("level", F.when(risk >= 400, "CRITICAL").when(risk >= 200, "HIGH").when(risk >= 80, "MEDIUM").otherwise("LOW"))
+
+
+def account_risk(patterns: DataFrame) -> DataFrame:
+    """patterns (account, severity, confidence): mean of severity weight (1, 0.5, 0.2) times confidence, at most 1."""
+    weight = F.when(F.col("severity") == "HIGH", 1.0).when(F.col("severity") == "MEDIUM", 0.5).otherwise(0.2)
+    out = patterns.groupBy("account").agg(F.sum(weight * F.col("confidence")).alias("s"), F.count(F.lit(1)).alias("patterns"))
+    return out.select("account", F.round(F.least(F.lit(1.0), F.col("s") / F.col("patterns")), 6).alias("risk"), "patterns")
+
+
+def shell_accounts(tx: DataFrame, holders: DataFrame, factor: float = 3, floor: float = 10, least: float = 0.5) -> DataFrame:
+    """Busy accounts whose holder is little known: holders (account, has_name, has_phone, has_location); an unknown holder scores 0."""
+    n = tx.select(F.explode(F.array("src", "dst")).alias("account"), "amount").groupBy("account").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("s"))
+    cut = n.agg(F.greatest(factor * F.median("n"), F.lit(float(floor))).alias("cut"))
+    known = sum((F.when(F.col(c), 1.0).otherwise(0.0) for c in ("has_name", "has_phone", "has_location")), F.lit(0.0)) / 3
+    rows = n.join(F.broadcast(cut)).where("n > cut").join(holders.select("account", known.alias("known")), "account", "left")  # one row
+    rows = rows.withColumn("completeness", F.coalesce("known", F.lit(0.0))).where(F.col("completeness") < least)
+    return rows.select("account", "n", money(F.col("s")).alias("volume"), F.round("completeness", 6).alias("completeness"), F.round(1 - F.col("completeness"), 6).alias("confidence"))

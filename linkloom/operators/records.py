@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,15 +67,19 @@ def similarity_udf(function):
     return similarity
 
 
+#: Cues that turn a statement against a claim, and that speak for one.
+DENIALS = r"\b(no|not|never|denied|denies|didn't|doesn't|refused|rejected|false|untrue|wrong|unrelated|no evidence|no link|no connection)\b"
+AFFIRMATIONS = r"\b(confirmed|admitted|acknowledged|verified|stated|reported|found|observed|evidence|recorded|seen|matched|called|met|transferred)\b"
+
+
 def polarity(records: DataFrame, text: str, terms: list[str]) -> DataFrame:
-    """records with matches, negations, polarity and strength against a claim's terms."""
-    words = T.tokens(F.col(text))
-    m = F.size(F.array_intersect(words, F.array(*map(F.lit, terms))))
-    n = F.size(F.regexp_extract_all(F.lower(text), F.lit(r"\b(not|never|denied|false)\b"), F.lit(1)))
-    yes = F.size(F.regexp_extract_all(F.lower(text), F.lit(r"\b(confirmed|admitted|verified)\b"), F.lit(1)))
-    out = records.withColumns({"matches": m, "negations": n, "affirmations": yes})
-    label = F.when(F.col("negations") > 0, "CONTRADICTS").when(F.col("matches") > 0, "SUPPORTS").otherwise("UNKNOWN")
-    strength = F.when((F.col("negations") > 0) & (F.col("matches") > 0), F.least(F.lit(1.0), 0.4 + 0.2 * F.col("negations"))).when(F.col("negations") > 0, 0.3).when((F.col("affirmations") > 0) & (F.col("matches") > 0), F.least(F.lit(1.0), 0.4 + 0.15 * F.col("matches"))).when(F.col("matches") > 0, F.least(F.lit(0.6), 0.3 + 0.1 * F.col("matches"))).otherwise(0.0)
+    """records with matches (terms that the text contains), negations, polarity and strength against a claim's terms."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    m = sum((F.when(F.contains(t, F.lit(x)), 1).otherwise(0) for x in terms), F.lit(0))
+    out = records.withColumns({"matches": m, "negations": F.size(F.regexp_extract_all(t, F.lit(DENIALS), F.lit(1)))})
+    some = F.col("matches") > 0
+    label = F.when(F.col("negations") > 0, "CONTRADICTS").when(some, "SUPPORTS").otherwise("UNKNOWN")
+    strength = F.when((F.col("negations") > 0) & some, F.least(F.lit(1.0), 0.4 + 0.2 * F.col("negations"))).when(F.col("negations") > 0, 0.3).when(t.rlike(AFFIRMATIONS) & some, F.least(F.lit(1.0), 0.4 + 0.15 * F.col("matches"))).when(some, F.least(F.lit(0.6), 0.3 + 0.1 * F.col("matches"))).otherwise(0.0)
     return out.withColumns({"polarity": label, "strength": F.round(strength, 6)})
 
 
@@ -123,50 +125,3 @@ def sequences(rows: DataFrame, key: str, order: list[str], value: str, length: i
     rows = rows.withColumns({"run": run, "last": F.lead(value, length - 1).over(w)}).where("last IS NOT NULL")
     out = rows.groupBy("run").agg(F.countDistinct(key).alias("support"), F.count(F.lit(1)).alias("n")).where(F.col("support") >= support)
     return out.withColumn("confidence", F.round(F.least(F.lit(1.0), 0.4 + 0.15 * F.col("support")), 6))
-
-
-def priority(parts: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
-    """Weighted mean of the components that are present, times 100, with tiers at 75, 50 and 25."""
-    total = sum((F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
-    value = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))
-    score = F.round(F.when(total > 0, 100 * value / total).otherwise(0.0), 4)
-    return parts.withColumn("priority", score).withColumn("tier", F.when(score >= 75, "CRITICAL").when(score >= 50, "HIGH").when(score >= 25, "MEDIUM").otherwise("LOW"))
-
-
-#: Entity patterns in order of priority.
-ENTITY_PATTERNS = (
-    ("EMAIL", r"[\w.+-]+@[\w-]+\.[\w.-]+"),
-    ("URL", r"https?://[^\s<>\"]+"),
-    ("IP", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"),
-    ("CASE_REF", r"\b(?:FIR|CASE)[-/ ]?\d{1,6}(?:/\d{2,4})?\b"),
-    ("IFSC", r"\b[A-Z]{4}0[A-Z0-9]{6}\b"),
-    ("VEHICLE", r"\b[A-Z]{2}[ -]?\d{1,2}[ -]?[A-Z]{1,2}[ -]?\d{4}\b"),
-    ("MONEY", r"(?:Rs\.?|INR|USD|EUR|\$|€|₹)\s?\d[\d,]*(?:\.\d+)?"),
-    ("DATE", r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{4}\b"),
-    ("PHONE", r"(?<!\w)\+?\d[\d ()-]{8,14}\d(?!\w)"),
-    ("ACCOUNT", r"\b\d{9,18}\b"),
-)
-
-
-def mentions(records: DataFrame, text: str, key: str) -> DataFrame:
-    """key, label, surface, start, end: rule-based entity mentions; overlaps go to the better priority, then the longer, then the earlier."""
-    import re
-
-    rules = [(label, re.compile(p)) for label, p in ENTITY_PATTERNS]
-    kind = records.schema[key].dataType.simpleString()
-
-    def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for k, t in zip(frame["key"], frame["text"], strict=True):
-                t = t or ""
-                found = sorted((rank, m.start() - m.end(), m.start(), m.end(), label, m.group()) for rank, (label, rx) in enumerate(rules) for m in rx.finditer(t))
-                taken: list[tuple[int, int]] = []
-                for _, _, a, b, label, surface in found:
-                    if all(b <= x or a >= y for x, y in taken):
-                        taken.append((a, b))
-                        out.append((k, label, surface, a, b))
-            yield pd.DataFrame(out, columns=["key", "label", "surface", "start", "end"])
-
-    got = records.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(extract, f"key {kind}, label string, surface string, start int, end int")
-    return got.withColumnRenamed("key", key) if key != "key" else got

@@ -42,7 +42,7 @@ def agg_pass_through(spark, sf):
 @query("SELECT account, n, greatest(1.2 * median(n) OVER (), 10.0) AS threshold FROM (SELECT account, count(*) AS n FROM (SELECT src AS account FROM v_tx UNION ALL SELECT dst FROM v_tx) GROUP BY account) QUALIFY n > greatest(1.2 * median(n) OVER (), 10.0)", TX)
 def agg_busy_accounts(spark, sf):
     """AGG-08."""
-    return flows.busy_accounts(transfers(spark, sf))
+    return flows.busy_accounts(transfers(spark, sf), factor=1.2)
 
 
 @query("""SELECT gang, n, total_amount, round(0.02 * n + total_amount / 100000, 4) AS risk, CASE WHEN round(0.02 * n + total_amount / 100000, 4) >= 400 THEN 'CRITICAL' WHEN round(0.02 * n + total_amount / 100000, 4) >= 200 THEN 'HIGH' WHEN round(0.02 * n + total_amount / 100000, 4) >= 80 THEN 'MEDIUM' ELSE 'LOW' END AS level
@@ -241,7 +241,7 @@ def win_week_cluster(spark, sf):
 SELECT day, until, n, round(m, 6) AS daily_mean FROM r WHERE n >= 5 AND n > 1.05 * 7 * m""", TX)
 def win_rows7(spark, sf):
     """WIN-06."""
-    return flows.row_window_bursts(transfers(spark, sf))
+    return flows.row_window_bursts(transfers(spark, sf), factor=1.05)
 
 
 @query("""WITH e AS (SELECT src AS account, ts, amount, 1 AS o FROM v_tx UNION ALL SELECT dst, ts, amount, 0 FROM v_tx),
@@ -250,7 +250,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY ts) AS rn FROM
 SELECT account, ts AS window_start, n_in, n_out, CAST(round(s_in + s_out, 2) AS DOUBLE) AS total_amount, ret AS retention, CASE WHEN ret < 0.05 THEN 'HIGH' WHEN ret < 0.2 THEN 'MEDIUM' ELSE 'LOW' END AS severity, round(greatest(0.0, least(1.0, 1 - 5 * ret)), 6) AS confidence FROM g""", TX)
 def win_layering(spark, sf):
     """WIN-07."""
-    return flows.layering(transfers(spark, sf))
+    return flows.layering(transfers(spark, sf), days=60)
 
 
 @query("""WITH r AS (SELECT dst, ts, count(*) OVER w AS n, sum(amount) OVER w AS total FROM v_tx WHERE amount < 20000 WINDOW w AS (PARTITION BY dst ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 30 DAYS FOLLOWING)),
@@ -258,7 +258,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY ts) AS rn FROM r WH
 SELECT dst, ts AS window_start, n, CAST(round(total, 2) AS DOUBLE) AS total_amount, CASE WHEN total > 100000 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, round(least(1.0, CAST(round(total, 2) AS DOUBLE) / 60000), 6) AS confidence FROM f WHERE rn = 1""", TX)
 def win_smurf(spark, sf):
     """WIN-08."""
-    return flows.smurfing(transfers(spark, sf))
+    return flows.smurfing(transfers(spark, sf), threshold=20000, days=30)
 
 
 @query("""WITH m AS (SELECT epoch(date_trunc('second', max(ts))) AS now FROM events), r AS (SELECT user_id, count(CASE WHEN now - epoch(date_trunc('second', ts)) BETWEEN 0 AND 604800 THEN 1 END) AS recent, count(CASE WHEN now - epoch(date_trunc('second', ts)) BETWEEN 604800 AND 2592000 THEN 1 END) AS before FROM events, m GROUP BY user_id)

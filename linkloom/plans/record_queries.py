@@ -24,8 +24,12 @@ def txt_fingerprint_dups(spark, sf):
 
 
 def _modality_sql() -> str:
-    cases = " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{label}'" for label, p in T.MODALITY)
-    return f"SELECT modality, negated, count(*) AS n FROM (SELECT CASE {cases} ELSE 'FACTUAL' END AS modality, regexp_matches(lower(text), '{T.NEGATION}') AS negated FROM conversations) GROUP BY 1, 2"
+    """The cues again, spelled out."""
+    unsure = "may|might|could|possibly|potentially|apparently|allegedly|reportedly|supposedly|purportedly|likely|unlikely|probable|improbable|plausible|implausible|conjecture|uncertain|unclear|unknown|ambiguous|vague|inconclusive|believed|thought to be|understood to be"
+    no = "not|never|no|none|nothing|nowhere|neither|nor|didn''t|doesn''t|don''t|wasn''t|weren''t|isn''t|aren''t|denied|denies|denial|refuted|refutes|refutation|contradicted|contradicts|contradiction|lacked|lacks|lack of|absence of|without|free from|clear of"
+    cases = (("DENIED", "denied|denies|denial|refuted|refutes"), ("ALLEGED", "alleged|alleges|allegation"), ("REPORTED", "according to|as per|based on|stated by|reported by|told by|said by|(witness|source|informant|official|document|record)[ \\t\\n\\r]+(stated|said|reported|claimed|alleged)"), ("SUSPECTED", "suspected|suspicion|hypothesis|speculation"), ("UNCERTAIN", unsure))
+    ladder = " ".join(f"WHEN regexp_matches(lower(text), '\\b({p})\\b') THEN '{label}'" for label, p in cases)
+    return f"SELECT modality, negated, count(*) AS n FROM (SELECT CASE {ladder} ELSE 'FACTUAL' END AS modality, regexp_matches(lower(text), '\\b({no})\\b') AS negated FROM conversations) GROUP BY 1, 2"
 
 
 @query(_modality_sql())
@@ -35,20 +39,6 @@ def txt_modality(spark, sf):
     return c.groupBy(T.modality(F.col("text")).alias("modality"), T.negated(F.col("text")).alias("negated")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _language_sql() -> str:
-    hits = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(s) for s in v)}))) AS {k}" for k, v in T.STOP_WORDS.items())
-    pick = " ".join(f"WHEN {k} = b THEN '{k}'" for k in T.STOP_WORDS)
-    return f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents), h AS (SELECT doc_id, greatest(len(w), 1) AS n, {hits} FROM t), g AS (SELECT *, greatest({', '.join(T.STOP_WORDS)}) AS b FROM h)
-SELECT doc_id, CASE WHEN b = 0 THEN 'en' {pick} END AS language, CASE WHEN b > 0 THEN round(least(0.4 + b / CAST(n AS DOUBLE), 0.95), 6) ELSE 0.4 END AS confidence FROM g"""
-
-
-@query(_language_sql())
-def txt_lang(spark, sf):
-    """SCL-03."""
-    name, sure = T.language(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", name.alias("language"), sure.alias("confidence"))
-
-
 TERMS = ["tion", "the", "and", "that", "with", "thing", "other"]
 
 
@@ -127,25 +117,12 @@ def ret_evidence_counts(spark, sf):
     return c.withColumn("evidence_id", T.short_id("E", F.concat_ws("|", "role", F.col("turn").cast("string")), 16))
 
 
-@query("WITH t AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_]{3,}') AS w, lower(text) AS l FROM benchmark) SELECT item_id, len(list_intersect(w, ['the', 'and', 'tion'])) AS matches, len(regexp_extract_all(l, '\\b(not|never|denied|false)\\b')) AS negations FROM t")
+@query("""WITH t AS (SELECT item_id, lower(text) AS l FROM benchmark), m AS (SELECT item_id, (contains(l, 'that and')::INT + contains(l, 'tion')::INT + contains(l, 'onesen')::INT)::INTEGER AS matches, len(regexp_extract_all(l, '\\b(no|not|never|denied|denies|refused|rejected|false|untrue|wrong|unrelated)\\b'))::INTEGER AS negations,
+regexp_matches(l, '\\b(confirmed|admitted|acknowledged|verified|stated|reported|found|observed|evidence|recorded|seen|matched|called|met|transferred)\\b') AS yes FROM t)
+SELECT item_id, matches, negations, CASE WHEN negations > 0 THEN 'CONTRADICTS' WHEN matches > 0 THEN 'SUPPORTS' ELSE 'UNKNOWN' END AS polarity, round(CASE WHEN negations > 0 AND matches > 0 THEN least(1, 0.4::DOUBLE + 0.2::DOUBLE * negations) WHEN negations > 0 THEN 0.3 WHEN yes AND matches > 0 THEN least(1, 0.4::DOUBLE + 0.15::DOUBLE * matches) WHEN matches > 0 THEN least(0.6::DOUBLE, 0.3::DOUBLE + 0.1::DOUBLE * matches) ELSE 0 END, 6)::DOUBLE AS strength FROM m""")
 def ret_polarity(spark, sf):
     """RET-09, SCL-27."""
-    return records.polarity(table(spark, sf, "benchmark"), "text", ["the", "and", "tion"]).select("item_id", "matches", "negations")
-
-
-@query("""WITH p AS (SELECT user_id, count(*) / 100.0 AS a, CASE WHEN count(CASE WHEN event_type = 'error' THEN 1 END) > 0 THEN count(CASE WHEN event_type = 'error' THEN 1 END) / 50.0 END AS b, CASE WHEN user_id % 3 = 0 THEN 0.5 END AS c FROM events GROUP BY user_id)
-SELECT user_id, a, b, c, round(100 * (coalesce(a, 0) * 0.25 + coalesce(b, 0) * 0.2 + coalesce(c, 0) * 0.15) / (0.25 + CASE WHEN b IS NOT NULL THEN 0.2 ELSE 0 END + CASE WHEN c IS NOT NULL THEN 0.15 ELSE 0 END), 4) AS priority FROM p""")
-def agg_priority(spark, sf):
-    """AGG-27: weights renormalised over what is present."""
-    n, bad = F.count(F.lit(1)), F.count(F.when(F.col("event_type") == "error", 1))
-    parts = table(spark, sf, "events").groupBy("user_id").agg((n / 100.0).alias("a"), F.when(bad > 0, bad / 50.0).alias("b")).withColumn("c", F.when(F.col("user_id") % 3 == 0, 0.5))
-    return records.priority(parts, "user_id", {"a": 0.25, "b": 0.2, "c": 0.15}).drop("tier")
-
-
-@query()
-def txt_mentions(spark, sf):
-    """TXT-02, TXT-04 in part: entities of every document by 10 patterns, overlaps resolved; no gazetteers."""
-    return records.mentions(table(spark, sf, "documents"), "text", "doc_id")
+    return records.polarity(table(spark, sf, "benchmark"), "text", ["that and", "tion", "onesen"]).select("item_id", "matches", "negations", "polarity", "strength")
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, count(DISTINCT user_id) AS entities, count(*) AS n FROM events GROUP BY 1 HAVING count(DISTINCT user_id) >= 5")
