@@ -232,3 +232,14 @@ def uuid5(namespace: str, name: Column) -> Column:
     h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
     variant = F.lower(F.hex((F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3) + 8).cast("long")))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def normalized(text: Column) -> Column:
+    """A struct of language, script, date, phone, amount, currency and words (Latin, Devanagari, Tamil) of a text."""
+    iso, dmy = r"\b(20\d{2})[-/](\d{1,2})[-/](\d{1,2})\b", r"\b(\d{1,2})[/-](\d{1,2})[/-](20\d{2})\b"
+    num = lambda p, g: F.nullif(F.regexp_extract(text, p, g), F.lit("")).cast("int")
+    date = F.when(text.rlike(iso), F.format_string("%04d-%02d-%02d", num(iso, 1), num(iso, 2), num(iso, 3))).when(text.rlike(dmy), F.format_string("%04d-%02d-%02d", num(dmy, 3), num(dmy, 2), num(dmy, 1)))
+    call = F.regexp_extract(text, r"(?:\+?91[\s-]?)?[6-9](?:[\s-]?\d){9}", 0)
+    bare = F.regexp_replace(text, r"(?:\+?91[\s-]?)?[6-9][\s-]?\d{9}", " PHONE ")
+    words = F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z\u0b80-\u0bff\u0900-\u097f]+)"), F.lit(1)), F.lower)
+    return F.struct(script(text).alias("language"), date.alias("iso_date"), F.when(call != "", phone(call)).alias("phone"), amount(bare).alias("amount"), currency(text).alias("currency"), words.alias("tokens"))

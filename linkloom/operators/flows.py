@@ -27,13 +27,20 @@ def account_totals(tx: DataFrame) -> DataFrame:
     )
 
 
-def order_statistic(df: DataFrame, value: str, share: float) -> DataFrame:
-    """The value at index int(n * share) of the ascending order, as one row. Found by counting distinct values, not by sorting rows in one task."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    buckets = counts.withColumn("upto", F.sum("c").over(Window.orderBy(value)))
-    at = F.least(F.floor(F.col("n") * share), F.col("n") - 1)
-    return buckets.join(F.broadcast(n)).where(F.col("upto") > at).agg(F.min(value).alias("cutoff"))  # n is one row
+def order_statistic(df: DataFrame, value: str, share: float, buckets: int = 1000) -> DataFrame:
+    """The value at index int(n * share) of the ascending order, as one row.
+
+    Values are counted in equal buckets between the smallest and the largest; only the bucket that holds the
+    index is put in order.
+    """
+    v = df.select(F.col(value).cast("double").alias("v"), F.col(value).alias("x")).where("x IS NOT NULL")
+    span = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+    width = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    rows = v.join(F.broadcast(span)).withColumns({"b": F.least(F.floor(width * buckets), F.lit(buckets - 1)), "at": F.least(F.floor(F.col("n") * share), F.col("n") - 1)})  # one row
+    per = rows.groupBy("b", "at").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("b")))  # a row a bucket
+    held = per.where("upto > at").agg(F.min(F.struct("b", (F.col("at") - (F.col("upto") - F.col("c"))).alias("rest"))).alias("h")).select("h.b", "h.rest")
+    inside = rows.join(F.broadcast(held), "b").groupBy("x", "rest").agg(F.count(F.lit(1)).alias("c"))  # one row
+    return inside.withColumn("upto", F.sum("c").over(Window.orderBy("x"))).where("upto > rest").agg(F.min("x").alias("cutoff"))
 
 
 def pass_through(totals: DataFrame, share: float = 0.9) -> DataFrame:

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as T
 from linkloom.operators import records
-from linkloom.operators.materialize import checkpointed
 from linkloom.plans.registry import query
 from linkloom.sources.tables import table
-from linkloom.streaming import windows
 
 FP = "sha256(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')))"
 
@@ -125,28 +121,6 @@ def ret_polarity(spark, sf):
     return records.polarity(table(spark, sf, "benchmark"), "text", ["that and", "tion", "onesen"]).select("item_id", "matches", "negations", "polarity", "strength")
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, count(DISTINCT user_id) AS entities, count(*) AS n FROM events GROUP BY 1 HAVING count(DISTINCT user_id) >= 5")
-def str_sync_hour(spark, sf):
-    """STR-02: a stream run to its end; complete mode, so that the last hours are out too."""
-    schema = table(spark, sf, "events").schema
-    stream = windows.synchronized_hours(windows.read_events(spark, sf, schema, "events*.parquet"))
-    out = windows.run_to_end(stream, _checkpoint(spark), "complete")
-    return out.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "entities", "n")
-
-
-@query("SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 15 MINUTES AND a.ts + INTERVAL 15 MINUTES WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
-def str_interval_join(spark, sf):
-    """STR-06."""
-    schema = table(spark, sf, "events").schema
-    stream = lambda kind: windows.read_events(spark, sf, schema, "events*.parquet").where(F.col("event_type") == kind)
-    return windows.run_to_end(windows.interval_join(stream("click"), stream("purchase")), _checkpoint(spark))
-
-
-def _checkpoint(spark) -> str:
-    checkpointed(spark.range(1))  # sets a folder where none is set
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
 @query("SELECT event_type, user_id, n FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) <= 3")
 def top_per_group(spark, sf):
     """TOP-03, SET-04: three users a kind are the feature."""

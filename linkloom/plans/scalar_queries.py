@@ -187,3 +187,12 @@ def scl_soundex(spark, sf):
     pairs = a.join(b, "w").where("a.n < b.n").select(F.col("a.n").alias("a"), F.col("b.n").alias("b"))
     out = pairs.withColumn("c", names.compare_names("a", "b"))
     return out.select("a", "b", names.soundex_key(F.col("a")).alias("key"), F.round(names.name_similarity("a", "b"), 6).alias("ratio"), F.round("c.score", 6).alias("score"), "c.matched", "c.reason")
+
+
+@query("""SELECT c_custkey, '2024-03-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') AS iso_date, '98' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS phone, (c_custkey + 1) * 100000.0::DOUBLE AS amount, 'INR' AS currency, 'en' AS language, 13::BIGINT AS words FROM customer""")
+def scl_normalized(spark, sf):
+    """SCL-23: what a message says, whatever its language."""
+    k = F.col("c_custkey")
+    say = F.concat(F.lit("Call +91 98"), F.lpad(k.cast("string"), 8, "0"), F.lit(" and bring rupees "), k + 1, F.lit(" lakh to the usual place near the river on "), k % 28 + 1, F.lit("/3/2024"))
+    n = table(spark, sf, "customer").select("c_custkey", T.normalized(say).alias("n"))
+    return n.select("c_custkey", "n.iso_date", "n.phone", "n.amount", "n.currency", "n.language", F.size("n.tokens").cast("long").alias("words"))

@@ -101,9 +101,17 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, relation, src, dst, ts, value: each event's user calls the next one's."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").withColumn("nxt", F.lead("user_id").over(w)).where("nxt IS NOT NULL AND nxt <> user_id")
+    """event_id, relation, src, dst, ts, value: each event's user calls the next one's of that kind.
+
+    The next event is looked for within the hour; the last of an hour takes the first of the next hour that
+    has any, from a table of one row an hour and kind. So no task sorts all events of a kind.
+    """
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "ts", "value", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour"))
+    w = Window.partitionBy("event_type", "hour").orderBy("ts", "event_id")
+    first = e.groupBy("event_type", "hour").agg(F.min(F.struct("ts", "event_id", "user_id")).alias("f"))
+    then = first.select("event_type", "hour", F.lead("f.user_id").over(Window.partitionBy("event_type").orderBy("hour")).alias("then"))
+    rows = e.withColumns({"nxt": F.lead("user_id").over(w), "last": F.lead("event_id").over(w).isNull()}).join(then, ["event_type", "hour"])
+    rows = rows.withColumn("nxt", F.when(F.col("last"), F.col("then")).otherwise(F.col("nxt"))).where("nxt IS NOT NULL AND nxt <> user_id")
     return rows.select("event_id", F.col("event_type").alias("relation"), F.concat(F.lit("U:"), "user_id").alias("src"), F.concat(F.lit("U:"), "nxt").alias("dst"), "ts", "value")
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,10 +16,16 @@ def read_events(spark: SparkSession, folder: str, schema: T.StructType, pattern:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def synchronized_hours(events: DataFrame, late: str = "2 hours", least: int = 5) -> DataFrame:
-    """Tumbling hours with enough distinct users (approximate-free: users of a window are collected as a set)."""
-    out = events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.collect_set("user_id").alias("u"), F.count(F.lit(1)).alias("n"))
-    return out.where(F.size("u") >= least).select(F.col("w.start").alias("hour"), F.size("u").cast("long").alias("entities"), "n")
+def hourly_counts(events: DataFrame, late: str = "2 hours") -> DataFrame:
+    """Tumbling hours: hour, user_id, n. Distinct users of an hour are counted by synchronized() on what this wrote."""
+    out = events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return out.select(F.col("w.start").alias("hour"), "user_id", "n")
+
+
+def synchronized(counts: DataFrame, least: int = 5) -> DataFrame:
+    """hour, entities, n of hours with enough distinct users, from written hourly_counts()."""
+    out = counts.groupBy("hour").agg(F.count(F.lit(1)).alias("entities"), F.sum("n").alias("n"))
+    return out.where(F.col("entities") >= least)
 
 
 def sliding_counts(events: DataFrame, span: str = "24 hours", step: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -42,14 +49,65 @@ def deduplicated(events: DataFrame, keys: list[str], late: str = "30 days") -> D
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+STRUCTURED = "user_id bigint, window_start timestamp, n bigint, total double"
+
+
+def structuring(events: DataFrame, threshold: float, span: int = 86400, least: int = 3) -> DataFrame:
+    """The first window of a user with enough values below the threshold that sum to over three thresholds: the rows of the last span are the state, dropped once the user is reported.
+
+    events: user_id, ts, value. A batch may come in any order within itself.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        done, times, values = state.get if state.exists else (False, [], [])
+        times, values = list(times), list(values)
+        for frame in frames:
+            if not done:
+                times += (frame["ts"].astype("datetime64[us]").astype("int64")).tolist()
+                values += frame["value"].tolist()
+        if done:
+            return
+        order = sorted(range(len(times)), key=lambda i: (times[i], values[i]))
+        times, values = [times[i] for i in order], [values[i] for i in order]
+        end, total = 0, 0.0
+        for i, t in enumerate(times):
+            while end < len(times) and times[end] // 1_000_000 <= t // 1_000_000 + span:
+                total += values[end]
+                end += 1
+            if end - i >= least and round(total, 6) > 3 * threshold:
+                state.update((True, [], []))
+                yield pd.DataFrame({"user_id": [key[0]], "window_start": [pd.Timestamp(t, unit="us")], "n": [end - i], "total": [round(total, 2)]})
+                return
+            total -= values[i]
+        keep = [i for i, t in enumerate(times) if t >= times[-1] - span * 1_000_000]
+        state.update((False, [times[i] for i in keep], [values[i] for i in keep]))
+
+    small = events.where(F.col("value") < threshold).select("user_id", "ts", "value")
+    return small.groupBy("user_id").applyInPandasWithState(step, STRUCTURED, "done boolean, times array<bigint>, vals array<double>", "append", "NoTimeout")
+
+
+def missing_windows(batch: DataFrame, stream: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """keys, batch count, stream count where the two differ: rows that came too late for the stream, and windows still open."""
+    a, b = batch.select(*keys, F.col(count).alias("batch_n")), stream.select(*keys, F.col(count).alias("stream_n"))
+    rows = a.join(b, keys, "left").withColumn("stream_n", F.coalesce("stream_n", F.lit(0).cast("long")))
+    return rows.where("batch_n <> stream_n")
+
+
+def dropped_late(stream) -> int:
+    """Rows that a finished query dropped behind its watermark, by its progress."""
+    return sum(int(o.numRowsDroppedByWatermark) for p in stream.recentProgress for o in p.stateOperators)
+
+
 def run_to_end(stream: DataFrame, checkpoint: str, mode: str = "append", path: str | None = None) -> DataFrame:
-    """Runs a stream over what is there and returns what it wrote: Parquet at path, or a memory table."""
-    if path:
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-        return stream.sparkSession.read.parquet(path)
-    name = f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over what is there and returns what it wrote as Parquet, at path or beside the checkpoint; in complete mode each batch replaces the last."""
+    path = path or f"{checkpoint.rstrip('/')}-out"
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", path)
+    else:
+        writer = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
+    writer.start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 def publish(rows: DataFrame, folder: str, topic: str) -> None:
