@@ -12,12 +12,12 @@ from linkloom.sources.tables import calls, places, table, transfers
 
 CALL = ("v_call",)
 EDGE = ("v_call", "v_loc", "v_edge")
-#: A small dense graph from whole tables: market segments and nations of customers in debt, nations and regions.
-SMALL = """s AS (SELECT DISTINCT 'M:' || c_mktsegment AS src, 'N:' || c_nationkey AS dst FROM customer WHERE c_acctbal < 0 UNION SELECT 'N:' || n_nationkey, 'R:' || n_regionkey FROM nation), a AS (SELECT src AS u, dst AS v FROM s UNION SELECT dst, src FROM s), nodes AS (SELECT DISTINCT u AS node FROM a)"""
+#: A small dense graph from whole tables: market segments and nations of customers, nations and regions.
+SMALL = """s AS (SELECT DISTINCT 'M:' || c_mktsegment AS src, 'N:' || c_nationkey AS dst FROM customer UNION SELECT 'N:' || n_nationkey, 'R:' || n_regionkey FROM nation), a AS (SELECT src AS u, dst AS v FROM s UNION SELECT dst, src FROM s), nodes AS (SELECT DISTINCT u AS node FROM a)"""
 
 
 def _small(spark, sf):
-    c, n = table(spark, sf, "customer").where("c_acctbal < 0"), table(spark, sf, "nation")
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
     s = c.select(F.concat(F.lit("M:"), "c_mktsegment").alias("src"), F.concat(F.lit("N:"), "c_nationkey").alias("dst"))
     return s.unionByName(n.select(F.concat(F.lit("N:"), "n_nationkey").alias("src"), F.concat(F.lit("R:"), "n_regionkey").alias("dst"))).distinct()
 
@@ -27,11 +27,11 @@ def _small_members(spark, sf):
     n = table(spark, sf, "nation")
     nations = n.select(F.concat(F.lit("N:"), "n_nationkey").alias("node"), F.concat(F.lit("R:"), "n_regionkey").alias("community"))
     regions = n.select(F.concat(F.lit("R:"), "n_regionkey").alias("node")).distinct().withColumn("community", F.col("node"))
-    segments = table(spark, sf, "customer").where("c_acctbal < 0").select(F.concat(F.lit("M:"), "c_mktsegment").alias("node")).distinct().withColumn("community", F.lit("M"))
+    segments = table(spark, sf, "customer").select(F.concat(F.lit("M:"), "c_mktsegment").alias("node")).distinct().withColumn("community", F.lit("M"))
     return nations.unionByName(regions).unionByName(segments)
 
 
-MEMBERS = "mem AS (SELECT 'N:' || n_nationkey AS node, 'R:' || n_regionkey AS community FROM nation UNION SELECT 'R:' || n_regionkey, 'R:' || n_regionkey FROM nation UNION SELECT 'M:' || c_mktsegment, 'M' FROM customer WHERE c_acctbal < 0)"
+MEMBERS = "mem AS (SELECT 'N:' || n_nationkey AS node, 'R:' || n_regionkey AS community FROM nation UNION SELECT 'R:' || n_regionkey, 'R:' || n_regionkey FROM nation UNION SELECT 'M:' || c_mktsegment, 'M' FROM customer)"
 
 
 def _bfs(graph: str, name: str, tag: str = "", most: int = 8) -> str:

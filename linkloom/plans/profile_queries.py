@@ -25,8 +25,8 @@ def flt_relation_layers(spark, sf):
 e AS (SELECT DISTINCT m.community AS gang, e.edge_id, e.relation, e.value FROM v_edge e JOIN v_member m ON m.node = e.src OR m.node = e.dst),
 c AS (SELECT gang, count(CASE WHEN relation = 'CALLED' THEN 1 END) AS calls, count(CASE WHEN relation = 'TRANSFERRED_FUNDS' THEN 1 END) AS txns, CAST(round(sum(CASE WHEN relation = 'TRANSFERRED_FUNDS' THEN CAST(value AS DECIMAL(18,4)) END), 2) AS DOUBLE) AS amount FROM e GROUP BY gang),
 t AS (SELECT community AS gang, count(DISTINCT meeting_id) AS meetings FROM (SELECT meeting_id, unnest(attendees) AS node FROM v_meet) JOIN v_member USING (node) GROUP BY 1)
-SELECT gang, members, calls, txns, meetings, amount, round(0.02 * calls + 0.05 * txns + amount / 100000, 4)::DOUBLE AS risk, CASE WHEN round(0.02 * calls + 0.05 * txns + amount / 100000, 4) > 400 THEN 'CRITICAL' WHEN round(0.02 * calls + 0.05 * txns + amount / 100000, 4) > 200 THEN 'HIGH' WHEN round(0.02 * calls + 0.05 * txns + amount / 100000, 4) > 80 THEN 'MEDIUM' ELSE 'LOW' END AS level
-FROM g JOIN c USING (gang) JOIN t USING (gang)""", (*EDGE, "v_member", "v_meet"))
+SELECT gang, members, calls, txns, coalesce(meetings, 0) AS meetings, amount, round(0.02 * calls + 0.05 * txns + amount / 100000, 4)::DOUBLE AS risk, CASE WHEN round(0.02 * calls + 0.05 * txns + amount / 100000, 4) > 400 THEN 'CRITICAL' WHEN round(0.02 * calls + 0.05 * txns + amount / 100000, 4) > 200 THEN 'HIGH' WHEN round(0.02 * calls + 0.05 * txns + amount / 100000, 4) > 80 THEN 'MEDIUM' ELSE 'LOW' END AS level
+FROM g JOIN c USING (gang) LEFT JOIN t USING (gang)""", (*EDGE, "v_member", "v_meet"))
 def agg_gang_report(spark, sf):
     """AGG-02, JN-03: calls, transfers, meetings and money that touch a gang, with the risk ladder."""
     return profiles.gang_report(views.members(spark, sf), views.edges(spark, sf), views.meetings(spark, sf))
