@@ -206,8 +206,7 @@ def priority_components(metrics: DataFrame, key: str = "node") -> DataFrame:
 
     A component without anything to measure is null; evidence is 0.5 where there is none.
     """
-    top = F.max("pagerank").over(Window.partitionBy())
-    rows = metrics.withColumn("top", top) if "top" not in metrics.columns else metrics
+    rows = metrics if "top" in metrics.columns else metrics.join(F.broadcast(metrics.agg(F.max("pagerank").alias("top"))))  # one row
     cut = lambda c: F.bround(F.least(F.lit(1.0), c), 4)
     return rows.select(
         key, cut(0.6 * F.when(F.col("top") > 0, F.col("pagerank") / F.col("top")).otherwise(0.0) + 0.4 * F.col("degree_centrality")).alias("network_influence"),

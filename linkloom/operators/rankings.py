@@ -30,6 +30,19 @@ def disagreements(ranks: DataFrame, n: int, key: str = "node") -> DataFrame:
     return out.where("spread > 0").orderBy(F.desc("spread"), key).limit(n)
 
 
+def ranked(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, value, rank (1 for the largest, ties by key), share (rows of a value not above it).
+
+    Counts of distinct values give what lies above each; only rows of one value are put in order together.
+    """
+    per = rows.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
+    down, up = Window.orderBy(F.desc(value)), Window.orderBy(value)
+    per = per.select(value, (F.sum("c").over(down) - F.col("c")).alias("above"), F.sum("c").over(up).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("total"))  # a row a distinct value
+    own = F.row_number().over(Window.partitionBy(value).orderBy(key))
+    out = rows.join(per, value).withColumn("rank", (F.col("above") + own).cast("long"))
+    return out.select(key, value, "rank", F.round(F.col("upto") / F.col("total"), 6).alias("share"))
+
+
 def percentile_scores(rows: DataFrame, key: str, score: str) -> DataFrame:
     """rows with percentile (rank - 1) / (n - 1), ascending, ties by key; 0 for a single row.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from linkloom.operators import flows, graph, temporal
+from linkloom.operators import flows, graph, rankings, temporal
 from linkloom.operators.intervals import band_semi_join, before_incident, seconds
 from linkloom.plans.registry import query
 from linkloom.sources.tables import calls, places, table, transfers
@@ -299,9 +299,9 @@ def agg_node_temporal(spark, sf):
 
 @query("SELECT user_id, n, row_number() OVER (ORDER BY n DESC, user_id) AS rank, round(cume_dist() OVER (ORDER BY n), 6) AS share FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
 def win_ranking(spark, sf):
-    """WIN-16, WIN-19, AGG-37: one row a user is ranked."""
+    """WIN-16, AGG-37: users ranked by their number of events."""
     n = table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("user_id", "n", F.row_number().over(Window.orderBy(F.desc("n"), "user_id")).alias("rank"), F.round(F.cume_dist().over(Window.orderBy("n")), 6).alias("share"))
+    return rankings.ranked(n, "user_id", "n")
 
 
 @query("SELECT src, dst, CAST(round(sum(amount), 2) AS DOUBLE) AS total_amount FROM v_tx GROUP BY src, dst ORDER BY sum(amount) DESC, src, dst LIMIT 200", TX)
