@@ -23,7 +23,7 @@ BASE = sentence(1, 400)
 TEXTS = [
     (0, BASE), (1, BASE), (2, BASE.replace("alpha", "ALPHA", 3)), (3, BASE + " extra words here"), (4, None), (5, ""), (6, " \t\n\x0b\x0c\r "), (7, "one two three"),
     (8, "one two three"), (9, "One two THREE"), (10, sentence(2, 300)), (11, sentence(3, 60)), (11, sentence(3, 60)), (None, BASE), (None, None), (12, "x " * 300), (13, "word\n" * 80),
-    (14, "MIT License and GNU General-Public License, Apache License; CC BY-NC 4.0. " + sentence(4, 80)), (15, "spdx-license-identifier: MIT"), (16, "é ÉCOLE naïve ß <|endoftext|> don't 12345 中文 " * 30), (17, sentence(5, 6000)),
+    (14, "MIT License and GNU General-Public License, Apache License; CC BY-NC 4.0. " + sentence(4, 80)), (15, "spdx-license-identifier: MIT"), (16, "é ÉCOLE naïve ß <|endoftext|> don't 12345 中文 " * 30), (17, sentence(5, 25000)),
     (18, "### *** $$$ %%% " * 40), (19, sentence(6, 120).upper() + "!!!!"), (100, BASE), (200, sentence(7, 500)), (201, sentence(7, 500) + " tail"),
 ]
 SOURCES = [None, "a", "b", "aé", "A", "", "a"]
