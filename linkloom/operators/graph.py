@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators.materialize import checkpointed
+from linkloom.operators.skew import meet
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -132,13 +133,12 @@ def paths(edges: DataFrame, start: str, hops: int) -> DataFrame:
 def link_scores(edges: DataFrame) -> DataFrame:
     """Common neighbours, Jaccard, Adamic-Adar, resource allocation and preferential attachment of pairs with a shared neighbour.
 
-    A wedge join on the shared neighbour; the degree of that neighbour bounds each group.
+    A wedge join on the shared neighbour; the wedges of a hub are dealt over many tasks.
     """
     adj = undirected(edges).select("u", "v")
     degree = adj.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
-    hub = adj.select(F.col("u").alias("z"), F.col("v").alias("x")).join(degree.select(F.col("u").alias("z"), F.col("d").alias("dz")), "z")
-    wedge = hub.join(hub.select(F.col("z"), F.col("x").alias("y")), "z").where("x < y")
-    scores = wedge.groupBy("x", "y").agg(F.count(F.lit(1)).alias("common"), F.sum(F.when(F.col("dz") > 1, 1 / F.log("dz"))).alias("aa"), F.sum(1 / F.col("dz")).alias("ra"))
+    wedge = meet(adj.select(F.col("u").alias("z"), F.col("v").alias("x")), adj.select(F.col("u").alias("z"), F.col("v").alias("y")), degree.select(F.col("u").alias("z"), F.col("d").alias("size")), "z", "x").where("x < y")
+    scores = wedge.groupBy("x", "y").agg(F.count(F.lit(1)).alias("common"), F.sum(F.when(F.col("size") > 1, 1 / F.log("size"))).alias("aa"), F.sum(1 / F.col("size")).alias("ra"))
     dx, dy = degree.select(F.col("u").alias("x"), F.col("d").alias("dx")), degree.select(F.col("u").alias("y"), F.col("d").alias("dy"))
     known = adj.where("u < v").select(F.col("u").alias("x"), F.col("v").alias("y"), F.lit(True).alias("linked"))
     out = scores.join(dx, "x").join(dy, "y").join(known, ["x", "y"], "left")
@@ -154,7 +154,8 @@ def structural_holes(edges: DataFrame) -> DataFrame:
     """Burt's constraint of each node: sum over j of (p_ij + sum over q of p_iq p_qj)^2."""
     adj = undirected(edges)
     p = checkpointed(adj.join(adj.groupBy("u").agg(F.sum("weight").alias("t")), "u").select("u", "v", (F.col("weight") / F.col("t")).alias("p")))
-    through = p.alias("a").join(p.alias("b"), F.col("a.v") == F.col("b.u")).where("a.u <> b.v").groupBy(F.col("a.u").alias("u"), F.col("b.v").alias("v")).agg(F.sum(F.col("a.p") * F.col("b.p")).alias("q"))
+    into, out = p.select(F.col("v").alias("z"), "u", F.col("p").alias("p1")), p.select(F.col("u").alias("z"), "v", F.col("p").alias("p2"))
+    through = meet(into, out, p.groupBy(F.col("u").alias("z")).agg(F.count(F.lit(1)).alias("size")), "z", "u").where("u <> v").groupBy("u", "v").agg(F.sum(F.col("p1") * F.col("p2")).alias("q"))
     tie = p.join(through, ["u", "v"], "left").withColumn("c", F.pow(F.col("p") + F.coalesce("q", F.lit(0.0)), 2))
     return tie.groupBy("u").agg(F.round(F.sum("c"), 6).alias("constraint"), F.count(F.lit(1)).alias("degree")).withColumnRenamed("u", "node")
 

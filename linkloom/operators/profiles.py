@@ -319,8 +319,10 @@ def flows_with_evidence(edges: DataFrame, least: float = 0.0, start: str | None
     if end is not None:
         inside &= F.col("ts") <= F.lit(end).cast("timestamp_ntz")
     rows = edges.where(F.col("ts").isNull() | inside)
-    out = rows.groupBy("src", "dst").agg(F.sum(F.col("value").cast("decimal(18,4)")).alias("s"), F.count(F.lit(1)).alias("transaction_count"), F.array_join(F.slice(F.sort_array(F.collect_list("edge_id")), 1, 10), ",").alias("evidence"))
-    out = out.where(F.col("s") >= least).select("src", "dst", F.round("s", 2).cast("double").alias("total_amount"), "transaction_count", "evidence")
+    first = rows.select("src", "dst", "edge_id", F.row_number().over(Window.partitionBy("src", "dst").orderBy("edge_id")).alias("r")).where("r <= 10")  # cut before the exchange
+    first = first.groupBy("src", "dst").agg(F.array_join(F.sort_array(F.collect_list("edge_id")), ",").alias("evidence"))
+    out = rows.groupBy("src", "dst").agg(F.sum(F.col("value").cast("decimal(18,4)")).alias("s"), F.count(F.lit(1)).alias("transaction_count"))
+    out = out.where(F.col("s") >= least).join(first, ["src", "dst"]).select("src", "dst", F.round("s", 2).cast("double").alias("total_amount"), "transaction_count", "evidence")
     return out if top is None else out.orderBy(F.desc("total_amount"), "src", "dst").limit(top)
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as T
+from linkloom.operators.materialize import checkpointed
+from linkloom.operators.skew import meet
 
 
 def exact_duplicates(records: DataFrame, text: str, key: str) -> DataFrame:
@@ -23,11 +25,17 @@ def block_key(name: Column) -> Column:
 
 
 def name_pairs(records: DataFrame, name: str, key: str, least: float) -> DataFrame:
-    """Pairs within a block whose names are similar by edit distance. Equal names meet once, through the name."""
-    names = records.groupBy(F.col(name).alias("n")).agg(F.min(key).alias("k")).withColumn("b", block_key(F.col("n")))
-    a, b = names.alias("a"), names.alias("b")
-    sim = F.round(T.levenshtein_similarity(F.col("a.n"), F.col("b.n")), 6)
-    return a.join(b, F.col("a.b") == F.col("b.b")).where("a.n < b.n").select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), sim.alias("similarity")).where(F.col("similarity") >= least)
+    """Pairs within a block whose names are similar by edit distance. Equal names meet once, through the name.
+
+    Large blocks are dealt over many tasks; distances are computed where the lengths allow the similarity.
+    """
+    names = checkpointed(records.groupBy(F.col(name).alias("n")).agg(F.min(key).alias("k")).withColumn("block", block_key(F.col("n"))))
+    left, right = (names.select("block", F.col("n").alias(f"n{i}"), F.col("k").alias(x)) for i, x in ((1, "a"), (2, "b")))
+    pairs = meet(left, right, names.groupBy("block").agg(F.count(F.lit(1)).alias("size")), "block", "n1").where("n1 < n2")
+    x, y = F.length("n1"), F.length("n2")
+    near = F.abs(x - y) <= (1 - least + 1e-6) * F.greatest(x, y)  # a distance is at least the difference of lengths
+    sim = F.when(near, F.round(T.levenshtein_similarity(F.col("n1"), F.col("n2")), 6))
+    return pairs.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def resolve(records: DataFrame, name: str, kind: str, key: str) -> DataFrame:

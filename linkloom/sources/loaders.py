@@ -270,10 +270,12 @@ def generate(spark: SparkSession, people: int, gangs: int = 5, calls: int = 10,
         F.when(~hidden, F.concat(F.lit("G"), _part(s + "gang", gangs))).alias("gang_id"), F.when(hidden, "coordinator").when(_part(s + "r", 20) == 0, "boss").otherwise("soldier").alias("role"), hidden.alias("is_hidden_coordinator"),
     )
     moment = (F.lit("2025-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=_part(s + "t", 180 * 86400).cast("decimal(18,6)"))).alias("timestamp")
-    a, b = _part(s + "src", people), F.pmod(_part(s + "src", people) + 1 + _part(s + "dst", max(people - 1, 1)), F.lit(people))
+    other = lambda x: F.pmod(x + 1 + _part(s + "dst", max(people - 1, 1)), F.lit(people))
+    a = _part(s + "src", people)
+    b, payer = other(a), F.when(_part(s + "c", 10) == 0, _part(s + "k", coordinators)).otherwise(a)
     made = spark.range(people * calls)
     called = made.select(F.concat(F.lit("C"), "id").alias("call_id"), who(a).alias("caller_id"), who(b).alias("receiver_id"), moment, (_part(s + "d", 600) + 5).cast("int").alias("duration_sec"), F.concat(F.lit("TWR-"), _part(s + "w", 90) + 10).alias("tower_location"))
-    paid = spark.range(people * calls // 2).select(F.concat(F.lit("T"), "id").alias("transaction_id"), who(F.when(_part(s + "c", 10) == 0, _part(s + "k", coordinators)).otherwise(a)).alias("sender_id"), who(b).alias("receiver_id"), ((_part(s + "m", 900000) + 1000) / 100.0).alias("amount"), F.lit("USD").alias("currency"), moment, F.lit("cash").alias("channel"), F.concat(F.lit("ACC"), _part(s + "acc", max(people // 3, 1))).alias("account_id"))
+    paid = spark.range(people * calls // 2).select(F.concat(F.lit("T"), "id").alias("transaction_id"), who(payer).alias("sender_id"), who(other(payer)).alias("receiver_id"), ((_part(s + "m", 900000) + 1000) / 100.0).alias("amount"), F.lit("USD").alias("currency"), moment, F.lit("cash").alias("channel"), F.concat(F.lit("ACC"), _part(s + "acc", max(people // 3, 1))).alias("account_id"))
     met = spark.range(people // 2).select(F.concat(F.lit("M"), "id").alias("meeting_id"), F.lit("Riverport").alias("location"), moment, F.concat_ws("|", who(a), who(b)).alias("attendee_ids"))
     return {"persons": persons, "calls": called, "transactions": paid, "meetings": met}
 

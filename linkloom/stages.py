@@ -51,7 +51,7 @@ def extract(spark: SparkSession, source: str, out: str) -> dict[str, DataFrame]:
 def graph(spark: SparkSession, source: str, out: str) -> dict[str, DataFrame]:
     """Nodes, edges and communities."""
     t = _read(spark, out, "triplets")
-    edges = t.select(F.concat_ws("|", "record", "relation", "source", "target").alias("edge_id"), F.col("source").alias("src"), F.col("target").alias("dst"), "relation", "ts", F.lit(1.0).alias("confidence"), "value")
+    edges = t.select(F.concat_ws("|", "record", "relation", "source", "target").alias("edge_id"), F.col("source").alias("src"), F.col("target").alias("dst"), "relation", "ts", F.lit(1.0).alias("confidence"), "value").distinct()  # who pays themselves uses an account twice
     p = _read(spark, out, "persons").select(F.col("person_id").alias("id"), F.col("full_name").alias("label"), F.lit("PERSON").alias("entity_type"))
     accounts = t.where("target_type = 'ACCOUNT'").select(F.col("target").alias("id"), F.col("target").alias("label"), F.lit("ACCOUNT").alias("entity_type")).distinct()
     tied = edges.where("relation IN ('CALLED', 'MET')")
