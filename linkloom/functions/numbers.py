@@ -12,6 +12,11 @@ def exact_round(c: Column, places: int, even: bool = False) -> Column:
     return (F.bround(d, places) if even else F.round(d, places)).cast("double")
 
 
+def binary_round(c: Column, places: int) -> Column:
+    """c rounded half up as the double c * 10^places, as DuckDB does; F.round goes by the shortest decimal of c instead."""
+    return F.round(c * float(10**places)) / float(10**places)
+
+
 def sigmoid(c: Column, most: float = 20.0) -> Column:
     return 1 / (1 + F.exp(-F.least(F.greatest(c, F.lit(-most)), F.lit(most))))
 
