@@ -101,7 +101,7 @@ def scl_money(spark, sf):
     """SCL-21, SCL-22: amounts, currencies, channels, durations and times in sentences."""
     k = F.col("s_suppkey")
     say = lambda *p: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in p))
-    thousand = F.concat(F.lit("1,"), F.lpad((k + 200).cast("string"), 3, "0"))
+    thousand = F.format_number(k + 1200, 0)
     raw = _pick(k, say("paid rupees ", k + 5000, " via a bank transfer"), say("sent $", k + 2, "k using UPI"), say("moved ", F.concat(k, F.lit(".5")), " lakh rupees"), say("worth ", k + 1, " crore euros"), say("gave £", thousand, " in cash"), say("on 2024-03-05T10:30 for 1.5 minutes"), say("lasting ", k + 1, " hours-long"))
     raw = F.when(k % 7 == 6, say("lasting ", k + 1, " hours")).otherwise(raw)
     rows = table(spark, sf, "supplier").select("s_suppkey", raw.alias("t"))
