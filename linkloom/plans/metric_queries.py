@@ -66,10 +66,10 @@ c AS (SELECT count(CASE WHEN truth AND predicted THEN 1 END) AS tp, count(CASE W
 SELECT *, round(tp / greatest(tp + fp, 1)::DOUBLE, 4) AS precision, round(tp / greatest(tp + fn, 1)::DOUBLE, 4) AS recall, round(2 * tp / greatest(2 * tp + fp + fn, 1)::DOUBLE, 4) AS f1, round(fp / greatest(fp + tn, 1)::DOUBLE, 4) AS false_merge_rate, round(fn / greatest(fn + tp, 1)::DOUBLE, 4) AS false_split_rate FROM c""")
 def eva_pair_metrics(spark, sf):
     """AGG-34: merges judged pair by pair."""
-    p = table(spark, sf, "part")
-    a, b = p.alias("a"), p.alias("b")
-    pairs = a.join(b, (F.col("a.p_name") == F.col("b.p_name")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return metrics.pair_metrics(pairs.select((F.col("a.p_type") == F.col("b.p_type")).alias("truth"), ((F.col("a.p_brand") == F.col("b.p_brand")) & (F.abs(F.col("a.p_size") - F.col("b.p_size")) <= 5)).alias("predicted")))
+    p = table(spark, sf, "part").select("p_name", "p_type", "p_brand", "p_size")
+    truth = lambda a, b: F.col(f"{a}.p_type") == F.col(f"{b}.p_type")
+    predicted = lambda a, b: (F.col(f"{a}.p_brand") == F.col(f"{b}.p_brand")) & (F.abs(F.col(f"{a}.p_size") - F.col(f"{b}.p_size")) <= 5)
+    return metrics.profile_pair_metrics(p, ["p_name"], truth, predicted)
 
 
 @query("""WITH t AS (SELECT DISTINCT user_id AS doc, event_type AS label, event_id % 50 AS s, event_id % 50 + 5 AS e FROM events WHERE event_id % 3 <> 0), f AS (SELECT DISTINCT user_id AS doc, event_type AS label, event_id % 50 AS s, event_id % 50 + 5 AS e FROM events WHERE event_id % 5 <> 0),
