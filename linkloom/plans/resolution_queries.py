@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import names
 from linkloom.functions import text as T
-from linkloom.operators import resolution, search
+from linkloom.operators import resolution
 from linkloom.plans.registry import query
 from linkloom.plans.scalar_queries import _fold_sql
 from linkloom.sources.tables import table
@@ -71,9 +71,8 @@ k AS (SELECT a AS left_id, b AS right_id, CASE WHEN typed THEN CAST(round(CAST(s
 def er_hybrid(spark, sf):
     """ENT-08, JN-13, UDF-01: records compared by all their parts, names by edit distance."""
     p = _people(spark, sf)
-    keys = p.select("id", F.explode(F.array(F.concat(F.lit("p"), "phone"), F.concat(F.lit("e"), "email"), F.concat(F.lit("i"), F.get("identifiers", F.lit(0))))).alias("k"))
-    pairs = search.shared_key_pairs(keys, "id", "k")
-    return resolution.hybrid(p, pairs, T.levenshtein_similarity)
+    keys = [F.concat(F.lit("p"), "phone"), F.concat(F.lit("e"), "email"), F.concat(F.lit("i"), F.get("identifiers", F.lit(0)))]
+    return resolution.hybrid_blocks(p, keys, T.levenshtein_similarity)
 
 
 @query("""WITH a AS (SELECT c_custkey AS k FROM customer) SELECT k AS c_custkey, CASE k % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN CASE WHEN k % 8 = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 1.0::DOUBLE END AS similarity FROM a""")
