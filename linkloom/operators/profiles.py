@@ -56,7 +56,7 @@ def pair_features(edges: DataFrame, now: str) -> DataFrame:
     rows = edges.select(a, b, "ts", layer().alias("layer"))
     out = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.countDistinct(F.to_date("ts")).alias("active_days"), F.array_join(F.sort_array(F.collect_set("layer")), ",").alias("layers"))
     span = _days(F.col("last_ts"), F.col("first_ts"))
-    persistence = F.when(span > 0, binary_round(F.col("active_days") / F.greatest(span, F.lit(1.0)), 4)).otherwise(0.0)
+    persistence = F.when(F.col("last_ts") > F.col("first_ts"), binary_round(F.col("active_days") / F.greatest(span, F.lit(1.0)), 4)).otherwise(0.0)
     recency = binary_round(F.greatest(_days(F.lit(now).cast("timestamp_ntz"), F.col("last_ts")), F.lit(0.0)), 2)
     return out.select("a", "b", "n", "first_ts", "last_ts", persistence.alias("persistence"), F.coalesce(recency, F.lit(0.0)).alias("recency_days"), "layers")
 
